@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
-from .workspace import table
+from .sharding import shard_documents
+from .workspace import Workspace, table
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size", "mix_key")
+    mixed = mixing.mix(Workspace(spark, "sizes").save(docs))
+    return mixed.selectExpr("doc_id", "mix_size AS size", "source_size", "target", "mix_taken AS taken", "mix_shards AS shards", "mix_order AS shuffle_key")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
