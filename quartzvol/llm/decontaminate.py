@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,25 +193,39 @@ def _scanner(shared, threshold: float):
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each (document, item) pair whose coverage reaches the threshold."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _blocks(spark, benchmark: DataFrame, min_tile: int, block_bytes: int) -> Iterator:
+    """Broadcasts of the benchmark's blocks, each of about ``block_bytes`` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        bench = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], min_tile)
-        part = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(bench), threshold), RESULT)
-        out = part if out is None else out.union(part)
-    return out
+        yield spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], min_tile))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each (document, item) pair whose coverage reaches the threshold."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = [docs.mapInArrow(_scanner(shared, threshold), RESULT) for shared in _blocks(docs.sparkSession, benchmark, min_tile, block_bytes)]
+    return reduce(DataFrame.union, parts)
+
+
+def _cleaner(shared, threshold: float):
+    scan = _scanner(shared, threshold)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keyed = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "text"])
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for found in scan(iter([keyed])):
+                keep[found.column(0).to_numpy()] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without its contaminated documents; rows without doc_id are judged by their own text."""
-    keyed = docs.withColumn("__row_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    judged = keyed.select(F.col("__row_key").alias("doc_id"), "text")
-    hits = contamination(judged, benchmark, **settings).select(F.col("doc_id").alias("__row_key")).distinct()
-    return keyed.join(hits, "__row_key", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (text and any other columns) without contaminated rows; each row is judged where it is read, so nothing is shuffled."""
+    for shared in _blocks(docs.sparkSession, benchmark, min_tile, block_bytes):
+        docs = docs.mapInArrow(_cleaner(shared, threshold), docs.schema)
+    return docs

@@ -240,3 +240,25 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that it rejects: those of unknown language or a score below ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(shared)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], names=["text"])
+            for at, found in _numbered(predict(iter([texts]))):
+                known = [lang != UNKNOWN and score >= least_score for lang, score in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+                yield batch.slice(at, found.num_rows).filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    at = 0
+    for batch in batches:
+        yield at, batch
+        at += batch.num_rows

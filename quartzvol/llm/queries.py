@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, pii
+from . import langid, mixing, pii, secrets, urlfilter, warc
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
@@ -18,11 +19,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "mix_size AS size", "source_size", "target", "mix_taken AS taken", "mix_shards AS shards", "mix_order AS shuffle_key")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan_documents(table(spark, sf_dir, "documents")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by its document's toxic flag, unless a fixed rule labels its URL."""
+    pages = table(spark, sf_dir, "pages")
+    toxic = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("blocked"))
+    return urlfilter.judge(pages, toxic)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +62,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_pii": op8_pii,
@@ -54,6 +74,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p),
+        r AS (SELECT *, strlen(body) >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM q)
+        SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+        FROM r
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                coalesce(doc_id = max(doc_id) OVER g, max(doc_id) OVER g IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256

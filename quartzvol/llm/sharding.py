@@ -58,11 +58,11 @@ def key_columns(doc_id: str = "doc_id") -> tuple:
     return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs`` (doc_id, text)."""
+def shard_documents(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs`` (doc_id, text), and the columns to carry along."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key, order = key_columns()
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("__key"), order.alias("__order"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("__key"), order.alias("__order"), *carry)
     rows = rows.withColumn("shard", _jump_udf(shards)("__key")).withColumn("grown_shard", _jump_udf(shards + 1)("__key")).drop("__key")
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.col("__order"))
     rows = rows.withColumn("__bucket", F.pmod(spread, F.lit(BUCKETS)).cast("int"))
@@ -73,7 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     numbered = rows.withColumn("__at", F.row_number().over(inside))
     # starts holds at most (shards * BUCKETS) rows of three numbers.
     out = numbered.join(F.broadcast(starts), ["shard", "__bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__at") - 1).cast("long").alias("slot"), "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__at") - 1).cast("long").alias("slot"), "grown_shard", *carry)
 
 
 def oracle_sql(shards: int = 16, table: str = "documents") -> str:
