@@ -10,17 +10,19 @@ Method
        digest, 128 MinHash samples cut into 32 bands of 4, and an odd sketch:
        the samples folded into a 256-bit parity map. Documents with equal sets
        collapse into one representative before anything is compared.
-    2. Each band key points at its smallest member (the hub). Pairs of hub and
-       member pass on sizes and on the population count of the XOR of their odd
-       sketches, and are then confirmed on full sets.
-    3. Buckets whose members are still in different components are finished
-       exactly: every member outside the bucket's main component meets all
-       others of the bucket, pruned by the same two tests inside the join. No
-       bucket is capped; large ones are salted over many tasks.
-    4. Components come from alternating large-star and small-star rounds.
+    2. In each turn every band key has one member as hub, and members outside
+       the hub's component are paired with it. Pairs pass on sizes and on the
+       population count of the XOR of their odd sketches, and are confirmed on
+       full sets; links merge components (alternating large-star and small-star
+       rounds). A turn costs at most one pair for each row of an open bucket,
+       and after a few turns large groups have grown together.
+    3. Buckets that still hold several components are finished exactly: every
+       member outside the bucket's main component meets all others of the
+       bucket, with the same tests inside the join. No bucket is capped; large
+       ones are salted over many tasks.
 
 A pair at similarity 0.75 shares no band with probability 5e-6; the sketch
-test rejects such a pair only beyond about five standard deviations.
+test rejects such a pair only beyond 4.5 standard deviations.
 
 Defined results
     Null or empty text, or text of white space only: n_shingles 0, linked with
@@ -47,7 +49,9 @@ from .workspace import Workspace
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, SKETCH_WORDS = 32, 4, 4
 #: Odd sketches whose similarity estimate lies below this are told apart without their sets.
-SKETCH_FLOOR = 0.52
+SKETCH_FLOOR = 0.40
+#: Turns of hub pairs before the exact finish.
+TURNS = 4
 #: Members of a bucket that one salt of the exact finish holds.
 BLOCK = 4096
 
@@ -146,51 +150,63 @@ def sketches_fit(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_WORDS)]) <= most
 
 
-def confirm(ws: Workspace, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
-    sets = ws.save(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-    left = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "b").join(right, "a").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
-    links = ws.save(links, "links")
-    ws.drop(sets)
-    return links
+def linked(inter: Column, a: Column, b: Column) -> Column:
+    return inter * 100 >= (a + b - inter) * PERCENT
 
 
-def _star_pairs(reps: DataFrame, buckets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (hub, member) pairs of all buckets that pass both cheap tests."""
-    pairs = buckets.join(hubs, "key").where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    facts = reps.select("id", "n", "sketch")
-    one = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    two = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    return pairs.join(one, "b").join(two, "a").where(sizes_fit(F.col("na"), F.col("nb")) & sketches_fit(F.col("ka"), F.col("kb"))).select("a", "b")
+def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Bucket rows (key, id) with the component that their member is in so far."""
+    if roots is None:
+        return buckets.withColumn("root", F.col("id"))
+    return buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
 
 
-def _open_pairs(reps: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, past both cheap tests.
+def _open(ws: Workspace, labelled: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold more than one component."""
+    keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return ws.save(labelled.join(keys, "key"), "open")
+
+
+def _star_links(ws: Workspace, rows: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Confirmed links (a, b: components) between each bucket's hub of this turn and the members outside the hub's component."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "root")).alias("hub"))
+    pairs = rows.join(hubs, "key").where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("hub.root").alias("ra"), F.col("id").alias("b"), F.col("root").alias("rb")).distinct()
+    one = sets.select(F.col("id").alias("b"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"))
+    two = sets.select(F.col("id").alias("a"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"))
+    na, nb = F.size("sa"), F.size("sb")
+    tests = sizes_fit(na, nb) & sketches_fit(F.col("ka"), F.col("kb"))
+    found = pairs.join(one, "b").join(two, "a").where(tests).where(linked(F.size(F.array_intersect("sa", "sb")), na, nb))
+    return ws.save(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+
+
+def _rest_links(ws: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between different components that share a bucket.
 
     In each bucket the members outside its largest component (minor) meet all
-    members; the met side is dealt over salts of BLOCK members.
+    members; the met side is dealt over salts of BLOCK members. The join's
+    condition holds all tests, so it makes no row for a pair that isn't linked.
     """
-    facts = reps.join(roots, "id", "left").select("id", "n", "sketch", F.coalesce("root", "id").alias("root"))
-    rows = buckets.join(facts, "id")
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    open_keys = (
-        counts.groupBy("key")
-        .agg(F.count("*").alias("roots"), F.sum("c").alias("members"), F.max_by("root", F.struct("c", "root")).alias("main"))
-        .where("roots > 1")
-        .select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("salts"))
-    )
-    rows = rows.join(open_keys, "key")
+    keys = counts.groupBy("key").agg(F.sum("c").alias("members"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    keys = keys.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("salts"))
+    full = rows.join(keys, "key").join(sets, "id")
     salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    met = rows.select("key", salt.alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("root").alias("ra"), (F.col("root") == F.col("main")).alias("in_main"))
-    minor = rows.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("root").alias("rb"))
-    tests = (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & sizes_fit(F.col("na"), F.col("nb")) & sketches_fit(F.col("ka"), F.col("kb"))
-    cond = (minor["key"] == met["key"]) & (minor["salt"] == met["salt"]) & tests
-    return minor.join(met, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = full.select("key", salt.alias("salt"), F.col("id").alias("a"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"), F.col("root").alias("ra"), (F.col("root") == F.col("main")).alias("in_main"))
+    minor = full.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"), F.col("root").alias("rb"))
+    na, nb = F.size(met["sa"]), F.size(minor["sb"])
+    apart = (met["ra"] != minor["rb"]) & (met["in_main"] | (met["a"] < minor["b"]))
+    alike = sizes_fit(na, nb) & sketches_fit(met["ka"], minor["kb"]) & linked(F.size(F.array_intersect(met["sa"], minor["sb"])), na, nb)
+    found = minor.join(met, (minor["key"] == met["key"]) & (minor["salt"] == met["salt"]) & apart & alike)
+    return ws.save(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+
+
+def _merged(ws: Workspace, roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after links between components: (id, root), without each component's smallest id."""
+    fresh = connected_components(ws, links)
+    if roots is None:
+        return fresh
+    lifted = fresh.select(F.col("id").alias("root"), F.col("root").alias("higher"))
+    return ws.save(roots.join(lifted, "root", "left").select("id", F.coalesce("higher", "root").alias("root")).union(fresh.select("id", "root")), "roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,21 +215,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signs = ws.save(docs.mapInArrow(_signatures, SIGNATURE), "signatures")
     named = signs.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"))
+    first = F.min(F.struct(F.col("doc_id").alias("id"), "sketch", "bands"))
     reps = ws.save(named.groupBy("d1", "d2").agg(first.alias("r"), F.count("*").alias("copies")).select("d1", "d2", "copies", "r.*"), "representatives")
     banded = reps.select(F.explode("bands").alias("key"), "id")
-    hubs = ws.save(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1"), "hubs")
-    buckets = ws.save(banded.join(hubs.select("key", "hub", "members"), "key"), "buckets")
-    links = confirm(ws, _star_pairs(reps, buckets.drop("hub", "members"), hubs.select("key", "hub")), docs)
-    roots = connected_components(ws, links)
-    rest = ws.save(_open_pairs(reps, buckets.where("members > 2").select("key", "id"), roots), "rest")
-    more = confirm(ws, rest, docs)
-    if not more.isEmpty():
-        roots = connected_components(ws, roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
-    for done in (hubs, buckets, links, rest, more):
+    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    rows = ws.save(banded.join(shared, "key"), "buckets")
+    # Only members of a shared bucket can be linked; their sets are made once, from the whole texts.
+    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
+    sets = ws.save(texts.join(reps.select("id", "sketch"), "id"), "sets")
+    roots = None
+    for turn in range(TURNS):
+        open_rows = _open(ws, _labelled(rows.select("key", "id"), roots))
+        ws.drop(rows)
+        rows = open_rows
+        links = _star_links(ws, rows, sets, turn)
+        if links.isEmpty():
+            break
+        roots = _merged(ws, roots, links)
+    open_rows = _open(ws, _labelled(rows.select("key", "id"), roots))
+    links = _rest_links(ws, open_rows, sets)
+    if not links.isEmpty():
+        roots = _merged(ws, roots, links)
+    for done in (rows, open_rows, sets):
         ws.drop(done)
+    if roots is None:
+        roots = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
     groups = reps.join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL").select("d1", "d2", F.coalesce("root", "id").alias("root"))
     out = signs.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    linked = F.col("root").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.col("root")).otherwise(F.col("doc_id"))
+    known = F.col("root").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(known, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
