@@ -120,7 +120,8 @@ PIECES |= {
 
 
 def _needs(text: str, known: dict[str, str]) -> list[str]:
-    return [w for w in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)) if w in known]
+    lists = re.findall(r"\b(?:FROM|JOIN)\s+(\w+(?:\s*,\s*\w+)*)", text)
+    return [w for w in dict.fromkeys(w for x in lists for w in re.findall(r"\w+", x)) if w in known]
 
 
 def query(final: str, **own: str) -> str:
