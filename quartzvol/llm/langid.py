@@ -160,7 +160,9 @@ class Vote:
             least[:, j] = np.minimum(least[:, j], -m)
         best = np.lexsort((total, wins), axis=1)[:, -1] if k > 1 else np.zeros(n, dtype=int)
         rows = np.arange(n)
-        return np.array(self.classes, dtype=object)[best], 1.0 / (1.0 + np.exp(-np.clip(least[rows, best], -30, 30)))
+        margin = least[rows, best]
+        sure = np.where(np.isinf(margin), 1.0, 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))))
+        return np.array(self.classes, dtype=object)[best], sure
 
 
 class LanguageModel:
@@ -242,7 +244,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.0) -> DataFrame:
     """``docs`` without the rows that it rejects: those of unknown language or a score below ``least_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

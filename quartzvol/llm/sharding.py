@@ -74,29 +74,3 @@ def shard_documents(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] =
     # starts holds at most (shards * BUCKETS) rows of three numbers.
     out = numbered.join(F.broadcast(starts), ["shard", "__bucket"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__at") - 1).cast("long").alias("slot"), "grown_shard", *carry)
-
-
-def oracle_sql(shards: int = 16, table: str = "documents") -> str:
-    """DuckDB SQL of the same result; each jump is one level of a recursive query."""
-
-    def wrap(x: str) -> str:
-        return f"CASE WHEN {x} >= 9223372036854775808 THEN {x} - 18446744073709551616 ELSE {x} END"
-
-    return f"""
-    WITH RECURSIVE ids AS (
-        SELECT DISTINCT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS m FROM {table}
-    ), j AS (
-        SELECT m, n, CAST(CAST('0x' || substr(m, 1, 16) AS UBIGINT) AS DECIMAL(38, 0)) AS k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j
-        FROM ids, (VALUES ({shards}), ({shards + 1})) t(n)
-        UNION ALL
-        SELECT m, n, nk, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(nk // 8589934592 AS DOUBLE) + 1.0::DOUBLE))) AS BIGINT)
-        FROM (SELECT *, CAST((CAST(k AS UHUGEINT) * 2862933555777941757 + 1) % 18446744073709551616 AS DECIMAL(38, 0)) AS nk FROM j WHERE j < n) q
-    ), landed AS (SELECT m, n, CAST(max(b) AS INTEGER) AS shard FROM j GROUP BY m, n),
-    r AS (
-        SELECT d.doc_id, d.text, i.m, a.shard, g.shard AS grown_shard, CAST(coalesce(strlen(d.text), 0) + 1 AS BIGINT) AS size,
-               CAST(CAST('0x' || substr(i.m, 17, 16) AS UBIGINT) AS HUGEINT) AS o
-        FROM {table} d JOIN ids i ON d.doc_id IS NOT DISTINCT FROM i.doc_id
-        JOIN landed a ON a.m = i.m AND a.n = {shards} JOIN landed g ON g.m = i.m AND g.n = {shards + 1}
-    )
-    SELECT doc_id, size, shard, grown_shard, {wrap("o")} AS ord FROM r
-    """
