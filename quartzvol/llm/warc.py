@@ -206,8 +206,13 @@ def frames(source) -> Iterator[tuple[int, bytes]]:
 
 def train_dictionary(pages: DataFrame) -> bytes | None:
     """A dictionary from a bounded sample of pages (page_id, payload); None where there is too little to learn from."""
-    near = pages.select(F.xxhash64("page_id").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("part")).orderBy("h", "part").limit(SAMPLE_PAGES)
-    samples = [bytes(r["part"]) for r in near.collect() if r["part"]]
+    # First the sample's hash bound, from bare hashes; then only the pages within it travel, one for each hash.
+    hashes = pages.where(F.octet_length("payload") > 0).select(F.xxhash64("page_id").alias("h"))
+    least = hashes.orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if least is None:
+        return None
+    near = pages.select(F.xxhash64("page_id").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("part")).where((F.col("h") <= least) & (F.octet_length("part") > 0))
+    samples = [bytes(r["part"]) for r in near.groupBy("h").agg(F.min("part").alias("part")).orderBy("h").collect()]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return None
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
