@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..operators import premium, score, series, walkforward
 from ..sources import market as source
+from ..sources.scratch import written
 
 #: The tables span seven years, so the first training window is shorter than the default.
 CONFIG = replace(DEFAULT, initial_years=3, cv_min_train=24)
@@ -18,14 +19,14 @@ MODELS = ("constant", "har", "extended_ols", "regime_switching")
 
 
 class Market:
-    """Steps that several later ones read are persisted; a lost part is computed again from its lineage."""
+    """Steps that several later ones read are written to the shared folder once, which keeps later plans short."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg=CONFIG):
         self.spark, self.dir, self.cfg = spark, sf_dir, cfg
 
     @cached_property
     def daily(self) -> DataFrame:
-        return source.snapshot(self.spark, self.dir).persist()
+        return written(source.snapshot(self.spark, self.dir), "daily")
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -37,7 +38,7 @@ class Market:
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return score.monthly_outcomes(self.returns, self.cfg).persist()
+        return written(score.monthly_outcomes(self.returns, self.cfg), "outcomes")
 
     @cached_property
     def har(self) -> DataFrame:
@@ -53,11 +54,11 @@ class Market:
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return premium.model_dataset(self.features, cfg=self.cfg).persist()
+        return written(premium.model_dataset(self.features, cfg=self.cfg), "dataset")
 
     @cached_property
     def cut(self) -> DataFrame:
-        return premium.train_cut(self.dataset, self.cfg.initial_years).persist()
+        return premium.train_cut(self.dataset, self.cfg.initial_years)
 
     def forecasts(self, model: str) -> DataFrame:
         if model == "constant":
@@ -74,4 +75,4 @@ class Market:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return self.observed().persist()
+        return written(self.observed(), "observations")
