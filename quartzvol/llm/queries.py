@@ -9,6 +9,7 @@ from . import langid, mixing, pii, secrets, urlfilter, warc
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .oracles import ORACLE_SQL  # noqa: F401  (registered with the queries)
 from .sharding import shard_documents
 from .workspace import Workspace, table
 
@@ -72,19 +73,3 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
-
-ORACLE_SQL = {
-    "op3_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-        q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p),
-        r AS (SELECT *, strlen(body) >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM q)
-        SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
-               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
-        FROM r
-    """,
-    "op10_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               coalesce(doc_id = max(doc_id) OVER g, max(doc_id) OVER g IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
-}
