@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import urlfilter
 from .secrets import BASE, RULES
 
 WARC = """
@@ -96,9 +97,55 @@ def secret_sql() -> str:
     """
 
 
+def url_sql() -> str:
+    """Every combination of up to LONGEST frequent tokens of a labelled URL is counted, instead of grown."""
+    ordered = sorted(urlfilter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in ordered)
+    sets = []
+    for n in range(1, urlfilter.LONGEST + 1):
+        joins = " ".join(f"JOIN one t{k} ON t{k}.id = t1.id AND t{k}.token > t{k - 1}.token" for k in range(2, n + 1))
+        sets.append(f"SELECT t1.id, t1.blocked, [{', '.join(f't{k}.token' for k in range(1, n + 1))}] AS items FROM one t1 {joins}")
+    return rf"""
+        WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h, coalesce(rest, '') AS rest FROM cut),
+        urls AS (
+            SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM parts
+        ), judged AS (SELECT *, CASE {fits} END AS fixed FROM urls),
+        known AS (SELECT doc_id AS page_id, max(toxic) = 1 AS blocked FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+        tokens AS (
+            SELECT j.*, coalesce(starts_with(fixed, 'block'), blocked) AS blocked,
+                   list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+                       list_transform(list_filter(string_split_regex(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: 'p:' || x))) AS tokens
+            FROM judged j LEFT JOIN known USING (page_id)
+        ), labelled AS (SELECT row_number() OVER () AS id, tokens, blocked FROM tokens WHERE blocked IS NOT NULL),
+        bound AS (SELECT least(1.0::DOUBLE, greatest({urlfilter.MIN_SUPPORT}::DOUBLE, {urlfilter.MIN_ROWS}::DOUBLE / greatest(1, count(*)))) AS least, count(*) AS n FROM labelled WHERE blocked OR len(tokens) > 0),
+        flat AS (SELECT id, blocked, unnest(tokens) AS token FROM labelled),
+        counts AS (SELECT token, count(*) AS n, count(*) FILTER (blocked) AS b FROM flat GROUP BY token),
+        one AS (SELECT flat.* FROM flat JOIN counts USING (token), bound WHERE b >= ceil(least * bound.n)),
+        itemsets AS ({" UNION ALL ".join(sets)}),
+        freq AS (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM itemsets GROUP BY items),
+        rules AS (
+            SELECT items, CAST(b AS DOUBLE) / freq.n AS confidence, CAST(b AS DOUBLE) / bound.n AS support
+            FROM freq, bound WHERE b >= ceil(least * bound.n) AND CAST(b AS DOUBLE) / freq.n >= {urlfilter.MIN_CONFIDENCE}
+        ), weak AS (
+            SELECT DISTINCT r.items FROM (SELECT *, unnest(items) AS gone FROM rules WHERE len(items) > 1) r
+            JOIN rules p ON p.items = list_filter(r.items, lambda x: x <> r.gone) WHERE p.confidence >= r.confidence
+        ), pruned AS (SELECT * FROM rules ANTI JOIN weak USING (items)),
+        best AS (
+            SELECT host, path, max(struct_pack(c := confidence, s := support, m := array_to_string(items, '+'))) AS best
+            FROM (SELECT DISTINCT host, path, tokens FROM tokens WHERE fixed IS NULL) u JOIN pruned ON list_has_all(u.tokens, pruned.items) GROUP BY host, path
+        )
+        SELECT page_id, host, path, split_part(fixed, ' ', 2) AS rule, CASE WHEN fixed IS NOT NULL THEN split_part(fixed, ' ', 1) WHEN best IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+               best.m AS mined, best.c AS confidence
+        FROM tokens LEFT JOIN best USING (host, path)
+        """
+
+
 ORACLE_SQL = {
     "op2_secret_scan": secret_sql(),
     "op3_warc": WARC,
+    "op5_url_filter": url_sql(),
     "op6_sharding": SHARDS,
     "op7_minhash_near_dedup": NEAR,
     "op10_exact_dedup": EXACT,
