@@ -53,10 +53,13 @@ _OTHER_DIGITS = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.deci
 _STRANGE = re.compile(f"[{_INVISIBLE}！-～{''.join(LOOKALIKES)}{_OTHER_DIGITS}]")
 _WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORD})(?:[\s-]+(?:{_WORD}))+\b|\b(?:{_WORD})\b(?=\s+dot\s)|(?<=\bdot\s)(?:{_WORD})\b", re.I)
-_DIGIT_BYTES = tuple(w.encode() for w in DIGIT_WORDS if w != "oh")
-_TWO_DIGITS = re.compile(rf"(?<![a-z0-9_])(?:{_WORD})[\s-]+(?:{_WORD})(?![a-z0-9_])".encode())
+#: Between words; a byte beyond ASCII may be part of a space.
+_GAP = r"[\s\x1c-\x1f\x80-\xff-]"
+_DIGIT_BYTES = tuple(w.encode() for w in DIGIT_WORDS)
+_TWO_DIGITS = re.compile(rf"(?:{_WORD}){_GAP}+(?:{_WORD})(?![a-z0-9_])".encode())
 _DOT_WORD = re.compile(rb"(?<![a-z0-9_])dot(?![a-z0-9_])")
-_AT_BRACKET = re.compile(rb"[\[({<]\s*at\s*[\])}>]")
+_DIGIT_POINT = re.compile(rf"[0-9]{_GAP}+point{_GAP}+[0-9]".encode())
+_AT_BRACKET = re.compile(rf"[\[({{<]{_GAP}*at{_GAP}*[\])}}>]".encode())
 _ONE_WORD = re.compile(rf"plus|{_WORD}", re.I)
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
@@ -161,13 +164,19 @@ def rewrite(text: str) -> Rewritten | None:
 
 
 def _disguised(raw: bytes) -> bool:
-    """A cheap test that every spoken or bracketed disguise passes."""
+    """A cheap test that every text passes in which a transducer of words or brackets finds anything.
+
+    Each transducer's pattern is tested on the source: the first one that
+    changes a text has met its pattern there.
+    """
     low = raw.lower()
     if b"dot" in low and _DOT_WORD.search(low):
         return True
-    if any(b"at" + c in low for c in (b"]", b")", b"}", b">", b" ]", b" )", b" }", b" >")) and _AT_BRACKET.search(low):
+    if b"point" in low and _DIGIT_POINT.search(low):
+        return True
+    if b"at" in low and _AT_BRACKET.search(low):
         return True
-    return sum(low.count(w) for w in _DIGIT_BYTES) >= 7 and bool(_TWO_DIGITS.search(low))
+    return sum(low.count(w) for w in _DIGIT_BYTES) >= 2 and bool(_TWO_DIGITS.search(low))
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -88,6 +88,33 @@ def test_disguises_map_back_to_the_source(text, kind, shown):
     assert (k, text[a:b], added) == (kind, shown, True)
 
 
+@pytest.mark.parametrize(
+    ("shown", "kind"),
+    [
+        ("+1 415 555 two six seven one", "phone"),
+        ("4111 1111 1111 one one one one", "card"),
+        ("plus four four oh two oh seven oh oh", "phone"),
+        ("192 point 168 point 1 point 20", "ip"),
+        ("john [at  ] example.com", "email"),
+        ("john (at\t) example.com", "email"),
+    ],
+)
+def test_gate_lets_few_words_pass(shown, kind):
+    assert pii.spans_of(f"so {shown}; ok".encode()) == [(kind, 3, 3 + len(shown), True)]
+
+
+def test_gate_passes_all_that_is_rewritten():
+    rng = random.Random(3)
+    bits = ["one", "Two", "oh", "plus", "7", "192", " ", " ", " ", "  ", "\t", "\x1c", "\xa0", "é", "-", "dot", "DOT", "point", "at", "(", "[", ")", "]", "john", "a.b", "@", "_"]
+    changed = 0
+    for _ in range(40_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        if pii.rewrite(t) is not None:
+            changed += 1
+            assert pii._disguised(t.encode()), t
+    assert changed > 1000
+
+
 def test_plain_prose_has_no_added_spans():
     for text in ("meet me at home, it is one or two or three", "dot by dot", "Привет, мир", "l'été à la plage", "on"):
         assert pii.spans_of(text.encode()) == []
