@@ -7,7 +7,8 @@ Two passes over a text:
        full-width forms and other scripts' digits become ASCII, invisible
        characters vanish, spelled digits become digits (adjacent ones join up),
        and ``at`` / ``dot`` in brackets, or as words in one address, become @
-       and a point. Every output character carries the source span it stands
+       and a point; an address may mix these with plain ones, but a spoken at
+       needs a disguised point. Every output character carries the source span it stands
        for, so what is detected in the rewritten text maps back. Such spans are
        added where no base span of their kind lies; base spans never change.
 
@@ -61,9 +62,10 @@ _DOT_WORD = re.compile(rb"(?<![a-z0-9_])dot(?![a-z0-9_])")
 _DIGIT_POINT = re.compile(rf"[0-9]{_GAP}+point{_GAP}+[0-9]".encode())
 _AT_BRACKET = re.compile(rf"[\[({{<]{_GAP}*at{_GAP}*[\])}}>]".encode())
 _ONE_WORD = re.compile(rf"plus|{_WORD}", re.I)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
-_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
+_BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I)
+#: A chain of words joined by spoken dots and, where an address goes on, its at and domain. Each chain is read once, so long ones stay linear.
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s++dot\s++(?!at\s)[A-Za-z0-9._%+-]++)*+(?:(\s++at\s++|@)[A-Za-z0-9-]++((?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++))?", re.I)
+_SPOKEN_DOT = re.compile(r"(?<!\s)\s++dot\s++", re.I)
 _DIGITS_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|point)\s+(?=[0-9])", re.I)
 
 
@@ -110,10 +112,14 @@ class Rewritten:
     """A text under rewriting: characters, and for each the source span it stands for."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.source = self.text = text
         self.start = list(range(len(text)))
         self.stop = list(range(1, len(text) + 1))
 
+    def hidden(self, k: int) -> bool:
+        """Whether the source had something else for this character."""
+        return self.source[self.start[k] : self.stop[k]] != self.text[k]
+
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [a, b) by a string for each edit; edits are ordered and apart."""
         if not edits:
@@ -147,8 +153,13 @@ def rewrite(text: str) -> Rewritten | None:
     r.apply([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(r.text)])
     edits = []
     for m in _SPOKEN.finditer(r.text):
-        edits.append((*m.span(1), "@"))
-        edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(r.text, m.end(1), m.end())]
+        # A spoken at beside plain points is prose ("look at example.com").
+        if m[1] is None or m[1] != "@" and not any(r.hidden(k) for k in range(*m.span(2)) if r.text[k] == ".") and not _SPOKEN_DOT.search(m[2]):
+            continue
+        edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(r.text, m.start(), m.start(1))]
+        if m[1] != "@":
+            edits.append((*m.span(1), "@"))
+        edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(r.text, m.start(2), m.end())]
     r.apply(edits)
     edits = []
     for m in _SPELLED.finditer(r.text):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -115,6 +116,36 @@ def test_gate_passes_all_that_is_rewritten():
     assert changed > 1000
 
 
+@pytest.mark.parametrize(
+    "shown",
+    [
+        "john [at] example dot com",
+        "john at example [dot] com",
+        "john@example dot com",
+        "john dot doe at example dot com",
+        "john dot doe [at] example dot co [dot] uk",
+        "john [dot] doe at mail.example dot com",
+        "John DOT a.doe at example．com",
+    ],
+)
+def test_addresses_that_mix_disguises(shown):
+    (k, a, b, added), = pii.spans_of(f"é, {shown}, ok".encode())
+    assert (k, a, b, added) == ("email", 3, 3 + len(shown), True)
+
+
+def test_spoken_at_needs_a_disguised_point():
+    for text in ("dot: look at example.com", "at home dot", "we look at example.com, dot by dot"):
+        assert pii.spans_of(text.encode()) == []
+    assert [s[0] for s in pii.spans_of(b"doe@example.com dot net")] == ["email"]
+
+
+def test_long_chains_stay_linear():
+    for text in ("a dot " * 30_000, "a at " * 30_000, "a@b " * 30_000 + "dot", "a" + " " * 100_000 + "dot"):
+        began = time.process_time()
+        pii.spans_of(text.encode())
+        assert time.process_time() - began < 5
+
+
 def test_plain_prose_has_no_added_spans():
     for text in ("meet me at home, it is one or two or three", "dot by dot", "Привет, мир", "l'été à la plage", "on"):
         assert pii.spans_of(text.encode()) == []
