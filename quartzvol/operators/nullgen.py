@@ -1,19 +1,20 @@
 """Null generators fitted to an observed premium, their autocorrelation gate, and the bootstrap over simulated paths.
 
 An observed bundle is one small table a series (months); it is packed into one
-row, broadcast in the task's closure, and every draw is a row of its own whose
-seed is its number. A draw whose simulation or refit fails numerically counts as
+row, fitted once for each generator, and dealt out with slices of draws; a
+draw's seed is its number. A draw whose simulation or refit fails numerically counts as
 failed; any other error stops the run.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -225,64 +226,119 @@ def draw_statistic(o: Observed, path: np.ndarray, exogenous: np.ndarray | None,
     return float(studentised(d[None])[0])
 
 
-def observed_bundle(vrp: DataFrame, dataset: DataFrame, outcomes: DataFrame, cut: DataFrame, series_id: str) -> Observed:
-    """The bundle of one series; it holds months, so it is small."""
-    path = vrp.where(F.col("series_id") == series_id).select("d", "vrp").toPandas().sort_values("d").reset_index(drop=True)
-    rows = dataset.where(F.col("series_id") == series_id).join(outcomes.select("series_id", "d", "vix_next", "realised_next"), ["series_id", "d"], "left").toPandas().sort_values("d")
-    where = dict(zip(path["d"], path.index, strict=True))
-    last = cut.where(F.col("series_id") == series_id).first()["cut"]
-    exogenous = rows[["vix_level", "cboe_skew", "realised_skew_21d"]].to_numpy(float)
-    return Observed(path["vrp"].to_numpy(float), rows["d"].map(where).to_numpy(), exogenous, rows["vix_next"].to_numpy(float), rows["realised_next"].to_numpy(float), rows["y"].to_numpy(float), int(last))
+def observed_bundles(vrp: DataFrame, dataset: DataFrame, outcomes: DataFrame, cut: DataFrame) -> DataFrame:
+    """(series_id, bundle): the pickled bundle of every series of ``dataset``; each holds months, so it is small."""
+    fields = ["d", "y", "vix_level", "cboe_skew", "realised_skew_21d", "vix_next", "realised_next"]
+    pack = lambda df, names, to: df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias(to))
+    rows = dataset.join(outcomes.select("series_id", "d", "vix_next", "realised_next"), ["series_id", "d"], "left")
+    packs = pack(vrp, ["d", "vrp"], "path").join(pack(rows, fields, "pack"), "series_id").join(cut.select("series_id", "cut"), "series_id")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for series, path, rows, last in zip(batch["series_id"], batch["path"], batch["pack"], batch["cut"], strict=True):
+                path, rows = pd.DataFrame(list(path), columns=["d", "vrp"]), pd.DataFrame(list(rows), columns=fields)
+                where = dict(zip(path["d"], path.index, strict=True))
+                number = lambda *c, rows=rows: rows[list(c)].to_numpy(float)
+                seen = Observed(path["vrp"].to_numpy(float), rows["d"].map(where).to_numpy(), number(*fields[2:5]), number("vix_next")[:, 0], number("realised_next")[:, 0], number("y")[:, 0], int(last))
+                out.append((series, pickle.dumps(seen)))
+            yield pd.DataFrame(out, columns=["series_id", "bundle"])
 
-def trials(spark: SparkSession, generator: Generator, n: int = DEFAULT.gate_trials, lags: tuple[int, ...] = DEFAULT.acf_lags, seed: int = DEFAULT.bootstrap_seed) -> DataFrame:
-    """Autocorrelations of simulated paths: (trial, lag, acf)."""
-    shared = spark.sparkContext.broadcast(generator)
+    return packs.mapInPandas(run, "series_id string, bundle binary")
+
+
+def fitted(bundles: DataFrame) -> DataFrame:
+    """(series_id, generator, model): every generator fitted to every bundle, pickled."""
+    parts = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = bundles.withColumn("generator", F.explode(F.array(*[F.lit(g) for g in GENERATORS]))).repartition(parts, "series_id", "generator")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for trial in batch["id"]:
-                path, _ = shared.value.simulate(np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(trial),))))
-                c = path - path.mean()
-                out += [(int(trial), k, float(c[k:] @ c[:-k] / (c @ c))) for k in lags]
-            yield pd.DataFrame(out, columns=["trial", "lag", "acf"])
+            models = [pickle.dumps(GENERATORS[g](pickle.loads(b))) for g, b in zip(batch["generator"], batch["bundle"], strict=True)]
+            yield batch[["series_id", "generator"]].assign(model=models)
 
-    return spark.range(n).mapInPandas(run, "trial long, lag int, acf double")
+    return work.mapInPandas(run, "series_id string, generator string, model binary")
 
 
-def gate(spark: SparkSession, generator: Generator, independent: bool = False, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Per lag whether a generator passes: its mean within the white-noise band, or the observed value near the trials'."""
-    path = generator.observed.vrp
+def _numbered(models: DataFrame, n: int, per_task: int) -> DataFrame:
+    """Models beside the first number of each slice of ``n`` trials or draws, a task a slice."""
+    firsts = F.sequence(F.lit(0), F.lit(n - 1), F.lit(per_task))
+    parts = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return models.withColumn("first", F.explode(firsts)).repartition(4 * parts, "series_id", "generator", "first")
+
+
+def _generator_of(seed: int, number: int) -> np.random.Generator:
+    return np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(number,)))
+
+
+def _acf(path: np.ndarray, k: int) -> float:
     c = path - path.mean()
-    seen = F.create_map(*[v for k in cfg.acf_lags for v in (F.lit(k), F.lit(float(c[k:] @ c[:-k] / (c @ c))))])
-    out = trials(spark, generator, cfg.gate_trials, cfg.acf_lags, cfg.bootstrap_seed).groupBy("lag").agg(F.avg("acf").alias("mean_acf"), F.stddev_samp("acf").alias("sd_acf"))
-    out = out.withColumn("observed_acf", seen[F.col("lag")]).withColumn("z", (F.col("observed_acf") - F.col("mean_acf")) / F.nullif("sd_acf", F.lit(0.0)))
-    passed = F.abs("mean_acf") <= 2.0 / len(path) ** 0.5 if independent else F.abs("z") <= cfg.gate_z
-    return out.withColumn("passed", passed)
+    return float(c[k:] @ c[:-k] / (c @ c))
 
 
-def null_draws(spark: SparkSession, generator: Generator, pair: str, draws: int, seed: int = DEFAULT.bootstrap_seed, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(draw, stat): the pair's statistic on each simulated path, NULL for a failed draw."""
-    shared = spark.sparkContext.broadcast(generator)
+def trials(models: DataFrame, cfg: EngineConfig = DEFAULT, per_task: int = 25) -> DataFrame:
+    """Autocorrelations of simulated paths beside the observed one: (series_id, generator, trial, lag, acf, observed_acf, n)."""
+    columns = ["series_id", "generator", "trial", "lag", "acf", "observed_acf", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for draw in batch["id"]:
-                rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(draw),)))
-                try:
-                    stat = draw_statistic(shared.value.observed, *shared.value.simulate(rng), pair, cfg)
-                except FAILURES:
-                    stat = None
-                out.append((int(draw), stat))
-            yield pd.DataFrame(out, columns=["draw", "stat"]).astype({"stat": float})
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.range(0, draws, 1, parts).mapInPandas(run, "draw long, stat double").withColumn("stat", F.nanvl("stat", F.lit(None).cast("double")))
-
-
-def null_p_value(draws: DataFrame, seen: float) -> DataFrame:
-    """Plain share of used draws at or above the observed statistic."""
-    hit = F.avg((F.col("stat") >= F.lit(seen)).cast("double"))
-    return draws.agg(F.lit(seen).alias("s_obs"), hit.alias("p_value"), F.count("stat").alias("used"), (F.count("*") - F.count("stat")).alias("failed"), F.stddev_samp("stat").alias("draw_sd"))
+            for series, name, model, first in batch[["series_id", "generator", "model", "first"]].itertuples(index=False):
+                model = pickle.loads(model)
+                seen = model.observed.vrp
+                for trial in range(first, min(first + per_task, cfg.gate_trials)):
+                    path, _ = model.simulate(_generator_of(cfg.bootstrap_seed, trial))
+                    out += [(series, name, trial, k, _acf(path, k), _acf(seen, k), len(seen)) for k in cfg.acf_lags]
+            yield pd.DataFrame(out, columns=columns)
+
+    return _numbered(models, cfg.gate_trials, per_task).mapInPandas(run, "series_id string, generator string, trial long, lag int, acf double, observed_acf double, n int")
+
+
+def gate(models: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Per series, generator and lag whether it passes: the constant null's mean lies within the white-noise band, others' trials near the observed value."""
+    out = trials(models, cfg).groupBy("series_id", "generator", "lag").agg(F.avg("acf").alias("mean_acf"), F.stddev_samp("acf").alias("sd_acf"), F.max("observed_acf").alias("observed_acf"), F.max("n").alias("n"))
+    # Paths that hardly differ (few months drawn) tell nothing; their spread is rounding.
+    out = out.withColumn("z", F.when(F.col("sd_acf") > 1e-12, (F.col("observed_acf") - F.col("mean_acf")) / F.col("sd_acf")))
+    passed = F.when(F.col("generator") == "constant", F.abs("mean_acf") <= 2.0 / F.sqrt("n")).otherwise(F.abs("z") <= cfg.gate_z)
+    return out.withColumn("passed", passed).drop("n")
+
+
+def null_draws(models: DataFrame, cfg: EngineConfig = DEFAULT, per_task: int = 100) -> DataFrame:
+    """(series_id, generator, draw, stat): each generator's pair on each of ``cfg.bootstrap_draws`` simulated paths, NULL for a failed draw.
+
+    Draw -1 is the statistic of the observed path.
+    """
+
+    def stat(observed: Observed, path: tuple, pair: str) -> float | None:
+        try:
+            return draw_statistic(observed, *path, pair, cfg)
+        except FAILURES:
+            return None
+
+    def simulated(model: Generator, draw: int, pair: str) -> float | None:
+        try:
+            return stat(model.observed, model.simulate(_generator_of(cfg.bootstrap_seed, draw)), pair)
+        except FAILURES:
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for series, pair, model, first in batch[["series_id", "generator", "model", "first"]].itertuples(index=False):
+                model, out = pickle.loads(model), []
+                if first == 0:
+                    out.append((series, pair, -1, stat(model.observed, (model.observed.vrp, None), pair)))
+                out += [(series, pair, draw, simulated(model, draw, pair)) for draw in range(first, min(first + per_task, cfg.bootstrap_draws))]
+                yield pd.DataFrame(out, columns=["series_id", "generator", "draw", "stat"]).astype({"stat": float})
+
+    out = _numbered(models, cfg.bootstrap_draws, per_task).mapInPandas(run, "series_id string, generator string, draw long, stat double")
+    return out.withColumn("stat", F.nanvl("stat", F.lit(None).cast("double")))
+
+
+def null_p_values(draws: DataFrame) -> DataFrame:
+    """Per series and generator: plain share of used draws at or above the observed statistic."""
+    own, drawn = F.col("draw") < 0, F.col("draw") >= 0
+    seen = F.max(F.when(own, F.col("stat"))).over(Window.partitionBy("series_id", "generator"))
+    used, stat = F.count(F.when(drawn, F.col("stat"))), F.when(drawn, F.col("stat"))
+    return draws.withColumn("s_obs", seen).groupBy("series_id", "generator").agg(
+        F.max("s_obs").alias("s_obs"), F.avg((stat >= F.col("s_obs")).cast("double")).alias("p_value"), used.alias("used"), (F.count(F.when(drawn, F.lit(1))) - used).alias("failed"), F.stddev_samp(stat).alias("draw_sd")
+    )

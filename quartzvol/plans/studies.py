@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosting, nullgen, report, simulation
 from ..sources import snapshots, stores
+from ..sources.scratch import written
 from ..streaming import closes
 from .market import Market
 from .registry import fixed, query
@@ -174,22 +175,19 @@ def _(m: Market):
     return boosting.importance_ranks(table)
 
 
-def _bundle(m: Market) -> nullgen.Observed:
-    return nullgen.observed_bundle(m.vrp, m.dataset, m.outcomes, m.cut, "BUILDING")
+def _nulls(m: Market) -> DataFrame:
+    """Every generator fitted to every series."""
+    return written(nullgen.fitted(nullgen.observed_bundles(m.vrp, m.dataset, m.outcomes, m.cut)), "nulls")
 
 
 @query("generator_gate")
 def _(m: Market):
-    seen = _bundle(m)
-    parts = [nullgen.gate(m.spark, kind(seen), name == "constant", m.cfg).withColumn("generator", F.lit(name)) for name, kind in nullgen.GENERATORS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return nullgen.gate(_nulls(m), m.cfg)
 
 
 @query("null_bootstrap")
 def _(m: Market):
-    seen = _bundle(m)
-    stat = nullgen.draw_statistic(seen, seen.vrp, None, "constant", m.cfg)
-    return nullgen.null_p_value(nullgen.null_draws(m.spark, nullgen.ConstantNull(seen), "constant", 200, cfg=m.cfg), stat)
+    return nullgen.null_p_values(nullgen.null_draws(_nulls(m), m.cfg))
 
 
 @query(

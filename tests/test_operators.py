@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import pickle
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -299,3 +301,25 @@ def test_strict_alignment(spark):
     assert not align.same_keys(a, a.where("v < 3")) and align.same_keys(a, a)
     hit = align.in_windows(a, (("w", "2000-02-01", "2000-03-01"), ("w2", "2000-03-01", "2000-03-31")))
     assert sorted((r["label"], r["v"]) for r in hit.collect()) == [("w", 2.0), ("w", 3.0), ("w2", 3.0)]
+
+
+def test_nulls_cover_every_series_pair_and_draw(spark):
+    rng = np.random.default_rng(4)
+    cfg = replace(DEFAULT, bootstrap_draws=30, gate_trials=6)
+    seen = {}
+    for name in ("a", "b"):
+        vrp, place = rng.normal(0.01, 0.003, 70), np.arange(6, 69)
+        seen[name] = nullgen.Observed(vrp, place, rng.normal(size=(63, 3)), np.full(63, 20.0), rng.uniform(0.02, 0.04, 63), vrp[place + 1], 20)
+    bundles = spark.createDataFrame([(k, bytearray(pickle.dumps(v))) for k, v in seen.items()], "series_id string, bundle binary")
+    models = nullgen.fitted(bundles)
+    rows = nullgen.null_draws(models, cfg, per_task=8).collect()
+    assert sorted((r["series_id"], r["generator"], r["draw"]) for r in rows) == [(s, g, d) for s in "ab" for g in sorted(nullgen.GENERATORS) for d in range(-1, 30)]
+    drawn = nullgen.HarNull(seen["b"]).simulate(np.random.default_rng(np.random.SeedSequence(cfg.bootstrap_seed, spawn_key=(17,))))
+    got = {(r["series_id"], r["generator"], r["draw"]): r["stat"] for r in rows}
+    assert got["b", "har", 17] == pytest.approx(nullgen.draw_statistic(seen["b"], *drawn, "har", cfg))
+    table = nullgen.null_p_values(spark.createDataFrame(rows)).collect()
+    assert len(table) == 6 and all(r["used"] + r["failed"] == 30 for r in table)
+    for r in table:
+        mine = [got[r["series_id"], r["generator"], d] for d in range(-1, 30)]
+        assert r["p_value"] == pytest.approx(np.mean([x >= mine[0] for x in mine[1:] if x is not None]))
+    assert nullgen.gate(models, cfg).count() == 6 * len(cfg.acf_lags)
