@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 from math import factorial
@@ -16,6 +17,8 @@ from .align import grid
 from .walkforward import cv_folds
 
 REGULAR = 1.0
+#: What a grid point sets.
+POINT = ("depth", "rate", "trees", "min_child")
 
 
 class Tree:
@@ -130,28 +133,36 @@ class Boosted:
         return base, out
 
 
-def attributed_forecasts(dataset: DataFrame, cut: DataFrame, columns: tuple[str, ...], settings: dict) -> DataFrame:
-    """Walk-forward of the boosted model with each step's attributions: y_true, y_pred, base and shap_<feature>."""
+def attributed_forecasts(dataset: DataFrame, cut: DataFrame, columns: tuple[str, ...], settings: dict | DataFrame) -> DataFrame:
+    """Walk-forward of the boosted model with each step's attributions: y_true, y_pred, base and shap_<feature>.
+
+    ``settings`` are one point for all series, or a point for each series_id
+    (from ``best_points``); a series without one keeps the model's defaults.
+    """
     fields = ["row", "d", "y", *columns]
     packs = dataset.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pack"))
     steps = packs.join(cut.select("series_id", "cut"), "series_id")
     steps = steps.withColumn("step", F.explode(F.when(F.col("cut") + 1 < F.size("pack"), F.sequence(F.col("cut") + 1, F.size("pack") - 1))))
+    if isinstance(settings, DataFrame):
+        steps = steps.join(settings.select("series_id", F.to_json(F.struct(*POINT)).alias("point")), "series_id", "left")
+    else:
+        steps = steps.withColumn("point", F.lit(json.dumps(settings)))
     parts = int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["series_id", "d", "row", "y_true", "y_pred", "base", *[f"shap_{c}" for c in columns]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for series, pack, step in zip(batch["series_id"], batch["pack"], batch["step"], strict=True):
+            for series, pack, step, point in zip(batch["series_id"], batch["pack"], batch["step"], batch["point"], strict=True):
                 frame = pd.DataFrame(list(pack), columns=fields)
-                model, now = Boosted(**settings), frame.iloc[step : step + 1]
+                model, now = Boosted(**json.loads(point or "{}")), frame.iloc[step : step + 1]
                 model.fit(frame[list(columns)].iloc[:step], frame["y"].iloc[:step])
                 base, shap = model.attributions(now[list(columns)])
                 out.append((series, now["d"].iloc[0], int(now["row"].iloc[0]), float(now["y"].iloc[0]), float(model.predict(now[list(columns)])[0]), base, *shap))
             yield pd.DataFrame(out, columns=names)
 
     schema = "series_id string, d date, row int, y_true double, y_pred double, base double, " + ", ".join(f"shap_{c} double" for c in columns)
-    return steps.select("series_id", "pack", "step").repartition(parts, "series_id", "step").mapInPandas(run, schema)
+    return steps.select("series_id", "pack", "step", "point").repartition(parts, "series_id", "step").mapInPandas(run, schema)
 
 
 def mean_attributions(shap: DataFrame, regimes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -210,3 +221,10 @@ def tune(dataset: DataFrame, outcomes: DataFrame, columns: tuple[str, ...], poin
     means = scored.groupBy("series_id", "grid_idx").agg(F.count("*").alias("folds"), F.avg("qlike").alias("mean_qlike"))
     w = Window.partitionBy("series_id").orderBy("mean_qlike", "grid_idx")
     return means.withColumn("place", F.row_number().over(w))
+
+
+def best_points(tuned: DataFrame, points: list[dict]) -> DataFrame:
+    """(series_id, depth, rate, trees, min_child): each series' best point of ``tune``."""
+    table = F.array(*[F.struct(*[F.lit(p[k]).alias(k) for k in ("grid_idx", *POINT)]) for p in points])
+    best = tuned.where("place = 1").select("series_id", F.col("grid_idx").alias("best"), F.explode(table).alias("p"))
+    return best.where("p.grid_idx = best").select("series_id", *[f"p.{k}" for k in POINT])

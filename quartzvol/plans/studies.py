@@ -14,7 +14,6 @@ from .registry import fixed, query
 
 CELLS = [simulation.Cell("size_toos60", t_train=60, t_oos=60, draws=99), simulation.Cell("beta0p05_toos60", "power", 0.05, t_train=60, t_oos=60, draws=99)]
 REPS = 24
-BOOST = {"depth": 2, "rate": 0.1, "trees": 20, "min_child": 5}
 
 #: Facts of a finished study for the report operators, out of the order table.
 FACTS_SQL = """SELECT o_orderpriority AS cell_key, o_orderkey AS rep_id, ln(o_totalprice) AS s_obs, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS p_norm,
@@ -133,26 +132,34 @@ def _(m: Market):
     return snapshots.with_column(wide, "^^BUILDING", pick("BUILDING", 2 * F.col("vix"))).select("date", "AUTOMOBILE", "BUILDING")
 
 
+def _tuned(m: Market) -> DataFrame:
+    """Every point of the grid scored on each series' training rows."""
+    inside = m.dataset.join(m.cut, "series_id").where("row <= cut").drop("cut", "cut_day")
+    return boosting.tune(inside, m.outcomes, m.cfg.features, boosting.default_grid(m.cfg), m.cfg)
+
+
+def _boosted(m: Market) -> DataFrame:
+    """The walk-forward with each series' best point."""
+    best = written(boosting.best_points(_tuned(m), boosting.default_grid(m.cfg)), "points")
+    return boosting.attributed_forecasts(m.dataset, m.cut, m.cfg.features, best)
+
+
 @query("gbt_walk_forward")
 def _(m: Market):
-    return boosting.attributed_forecasts(m.dataset, m.cut, m.cfg.features, BOOST)
+    return _boosted(m)
 
 
 @query("gbt_additivity", "SELECT count(*) AS n, 0 AS n_off FROM ds JOIN cut USING (series_id) WHERE row > cut")
 def _(m: Market):
     """Attributions and base add up to every prediction."""
-    rows = boosting.attributed_forecasts(m.dataset, m.cut, m.cfg.features, BOOST)
+    rows = _boosted(m)
     total = sum((F.col(f"shap_{c}") for c in m.cfg.features), F.col("base"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.abs(total - F.col("y_pred")) > 1e-9).cast("int").alias("n_off"))
 
 
 @query("gbt_tuning")
 def _(m: Market):
-    from ..operators.align import grid
-
-    points = grid(depth=[2], rate=[0.05, 0.1], trees=[10, 20], min_child=[1, 5])
-    inside = m.dataset.join(m.cut, "series_id").where("row <= cut").drop("cut", "cut_day")
-    return boosting.tune(inside, m.outcomes, m.cfg.features, points, m.cfg)
+    return _tuned(m)
 
 
 ATTRIBUTIONS = "SELECT series_id, d, regime, vix_level - 20 AS shap_vix_level, cboe_skew - 150 AS shap_cboe_skew, 100 * vrp_h1m AS shap_vrp_h1m FROM ds"

@@ -323,3 +323,29 @@ def test_nulls_cover_every_series_pair_and_draw(spark):
         mine = [got[r["series_id"], r["generator"], d] for d in range(-1, 30)]
         assert r["p_value"] == pytest.approx(np.mean([x >= mine[0] for x in mine[1:] if x is not None]))
     assert nullgen.gate(models, cfg).count() == 6 * len(cfg.acf_lags)
+
+
+def test_walk_forward_takes_each_series_best_point(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, k, dt.date(2000 + k // 12, k % 12 + 1, 1), float(a), float(a + b)) for s in ("a", "b", "c") for k, (a, b) in enumerate(rng.normal(size=(30, 2)))]
+    ds = spark.createDataFrame(rows, "series_id string, row int, d date, x double, y double")
+    cut = spark.createDataFrame([(s, 26) for s in "abc"], "series_id string, cut int")
+    points = [{"grid_idx": 0, "depth": 1, "rate": 0.5, "trees": 3, "min_child": 1}, {"grid_idx": 1, "depth": 2, "rate": 0.1, "trees": 5, "min_child": 5}]
+    tuned = spark.createDataFrame([("a", 1, 1), ("a", 0, 2), ("b", 0, 1)], "series_id string, grid_idx int, place int")
+    got = {(r["series_id"], r["row"]): r["y_pred"] for r in boosting.attributed_forecasts(ds, cut, ("x",), boosting.best_points(tuned, points)).collect()}
+    assert len(got) == 9
+    for series_id, settings in (("a", {"depth": 2, "rate": 0.1, "trees": 5, "min_child": 5}), ("b", {"depth": 1, "rate": 0.5, "trees": 3, "min_child": 1}), ("c", {})):
+        frame = pd.DataFrame([r for r in rows if r[0] == series_id], columns=["s", "row", "d", "x", "y"])
+        model = boosting.Boosted(**settings)
+        model.fit(frame[["x"]].iloc[:28], frame["y"].iloc[:28])
+        assert got[series_id, 28] == pytest.approx(model.predict(frame[["x"]].iloc[28:29])[0])
+
+
+def test_boosting_queries_score_the_whole_grid(spark, monkeypatch):
+    from quartzvol.plans import registry, studies  # noqa: F401
+
+    seen = []
+    monkeypatch.setattr(boosting, "tune", lambda dataset, outcomes, columns, points, cfg: seen.append(points))
+    empty = spark.createDataFrame([], "series_id string, row int, cut int, cut_day date")
+    studies._tuned(type("M", (), {"dataset": empty.select("series_id", "row"), "cut": empty.select("series_id", "cut", "cut_day"), "outcomes": None, "cfg": DEFAULT})())
+    assert seen == [boosting.default_grid(DEFAULT)]
