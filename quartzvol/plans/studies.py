@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,18 @@ from ..streaming import closes
 from .market import Market
 from .registry import fixed, query
 
+#: Small cells for the check that a resumed run agrees.
 CELLS = [simulation.Cell("size_toos60", t_train=60, t_oos=60, draws=99), simulation.Cell("beta0p05_toos60", "power", 0.05, t_train=60, t_oos=60, draws=99)]
-REPS = 24
+
+#: Cells and replications of the whole study, at the reference's sizes.
+STUDY = {
+    "size": (simulation.size_cells(), 2000),
+    "power": (simulation.power_cells(), 1000),
+    "calibration": (simulation.calibration_cells(), 300),
+    "sensitivity": (simulation.sensitivity_cells(), 1000),
+    "loss": ([simulation.Cell("loss", draws=999, bootstrap="loss", block=5)], 2000),
+    "data": ([simulation.Cell("data", draws=299, bootstrap="data", block=5)], 500),
+}
 
 #: Facts of a finished study for the report operators, out of the order table.
 FACTS_SQL = """SELECT o_orderpriority AS cell_key, o_orderkey AS rep_id, ln(o_totalprice) AS s_obs, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS p_norm,
@@ -36,12 +48,54 @@ def _(m: Market):
 
 @query("mc_size_cell")
 def _(m: Market):
-    return simulation.run_cells(m.spark, CELLS, REPS)
+    return simulation.run_cells(m.spark, *STUDY["size"])
+
+
+@query("mc_power_cells")
+def _(m: Market):
+    return simulation.run_cells(m.spark, *STUDY["power"])
+
+
+@query("mc_calibration_cells")
+def _(m: Market):
+    return simulation.run_cells(m.spark, *STUDY["calibration"])
+
+
+@query("mc_sensitivity_cells")
+def _(m: Market):
+    return simulation.run_cells(m.spark, *STUDY["sensitivity"])
 
 
 @query("mc_loss_bootstrap")
 def _(m: Market):
-    return simulation.run_cells(m.spark, [simulation.Cell("loss", t_train=60, t_oos=60, draws=99, bootstrap="loss", block=5), simulation.Cell("data", t_train=60, t_oos=60, draws=49, bootstrap="data", block=5)], 8)
+    return simulation.run_cells(m.spark, *STUDY["loss"]).unionByName(simulation.run_cells(m.spark, *STUDY["data"]))
+
+
+def _study(m: Market, *names: str) -> DataFrame:
+    """Facts of the named cell sets, run once and written."""
+    return written(reduce(DataFrame.unionByName, [simulation.run_cells(m.spark, *STUDY[n]) for n in names]), "facts")
+
+
+@query("mc_size_power_table")
+def _(m: Market):
+    """The study's own size, and its power at the null cells' cutoffs."""
+    null_of = {c.key: f"size_toos{c.t_oos}" for c in STUDY["power"][0]}
+    return report.size_and_power(_study(m, "size", "power"), null_of)
+
+
+@query("mc_rejection_rates")
+def _(m: Market):
+    return simulation.rejections(_study(m, "size", "power", "loss", "data"))
+
+
+@query("mc_calibration_table")
+def _(m: Market):
+    return simulation.calibration(_study(m, "calibration"))
+
+
+@query("mc_sensitivity_table")
+def _(m: Market):
+    return simulation.sensitivity_table(_study(m, "sensitivity"))
 
 
 @query("mc_resume", f"SELECT {len(CELLS) * 12} AS n_rows, 0 AS n_changed")

@@ -349,3 +349,30 @@ def test_boosting_queries_score_the_whole_grid(spark, monkeypatch):
     empty = spark.createDataFrame([], "series_id string, row int, cut int, cut_day date")
     studies._tuned(type("M", (), {"dataset": empty.select("series_id", "row"), "cut": empty.select("series_id", "cut", "cut_day"), "outcomes": None, "cfg": DEFAULT})())
     assert seen == [boosting.default_grid(DEFAULT)]
+
+
+def test_study_queries_run_the_reference_sizes(spark, monkeypatch):
+    from quartzvol.plans import registry, studies  # noqa: F401
+
+    ran = {}
+    monkeypatch.setattr(simulation, "run_cells", lambda session, cells, reps: ran.update({c.key: (c.t_train, c.t_oos, c.draws, reps) for c in cells}) or session.range(0))
+    for name in ("mc_size_cell", "mc_power_cells", "mc_calibration_cells", "mc_sensitivity_cells", "mc_loss_bootstrap"):
+        registry.QUERIES[name](spark, "none")
+    assert ran["size_toos220"] == (140, 220, 299, 2000) and ran["size_toos250"] == (140, 250, 299, 2000)
+    assert [ran[f"beta{b}_toos{n}"] for b in ("0p03", "0p05") for n in (220, 250)] == [(140, n, 299, 1000) for n in (220, 250)] * 2
+    assert sum(v == (140, 220, 0, 300) for v in ran.values()) == 8
+    assert [ran[k] for k in ("reference", "ar1_generator", "many_draws", "residual_blocks_3")] == [(140, 220, n, 1000) for n in (299, 299, 999, 299)]
+    assert ran["loss"] == (140, 220, 999, 2000) and ran["data"] == (140, 220, 299, 500)
+
+
+def test_study_tables_report_their_own_cells(spark, monkeypatch):
+    from quartzvol.plans import registry, studies
+
+    small = {k: ([replace(c, t_train=40, t_oos=40, draws=min(c.draws, 19)) for c in cells], 4) for k, (cells, _) in studies.STUDY.items()}
+    null_t = {c.key: c.t_oos for c in studies.STUDY["power"][0]}
+    small["power"] = ([replace(c, t_oos=null_t[c.key], draws=9) for c in small["power"][0]], 2)
+    monkeypatch.setattr(studies, "STUDY", small)
+    table = registry.QUERIES["mc_size_power_table"](spark, "none").collect()
+    assert len(table) == 12 and sum(r["power_boot"] is not None for r in table) == 8
+    assert registry.QUERIES["mc_calibration_table"](spark, "none").count() == 8
+    assert {r["cell_key"] for r in registry.QUERIES["mc_sensitivity_table"](spark, "none").collect()} == {c.key for c in studies.STUDY["sensitivity"][0]}
