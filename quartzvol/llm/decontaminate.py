@@ -4,8 +4,9 @@ Tokens are maximal runs of letters and digits (any non-ASCII byte counts as a
 letter), case-folded for A-Z and the Latin-1 letters. A document is joined with
 a benchmark item when they share a seed of ``min_tile`` tokens. For each such
 pair tiles are found greedily: the longest match that overlaps no earlier tile
-is marked again and again, found by running Karp-Rabin hashes over the tokens
-not marked yet, until no match of ``min_tile`` tokens is left. The share of the
+(of equal ones the first in the document, then in the item) is marked again and
+again, found by running Karp-Rabin hashes over the tokens not marked yet, until
+no match of ``min_tile`` tokens is left. The share of the
 item's tokens under tiles is its coverage; order does not matter, so reordered
 passages are caught. A document is contaminated by an item at a coverage of
 ``threshold`` or more.
@@ -14,9 +15,13 @@ The benchmark goes to the executors in blocks of at most ``block_bytes`` of
 text, one broadcast and one pass over the documents each; nothing is collected
 from the documents.
 
-Defined results: null and empty texts match nothing; an item of fewer than
-``min_tile`` tokens matches nothing, as it can't be told from chance; repeated
-items and documents give a row each; other columns are not read.
+Defined results: null and empty texts, and texts without tokens, match nothing;
+an empty table of either kind gives an empty result; an item of fewer than
+``min_tile`` tokens can't be told from chance inside a longer text, so it
+matches the documents whose tokens are exactly its own (one tile, coverage 1);
+repeated items and documents give a row each, with null ids too; ties between
+matches go by place. A very long text costs memory in proportion to its length,
+whatever its tokens; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -37,7 +42,6 @@ MIN_TILE, THRESHOLD, BLOCK_BYTES = 5, 0.5, 8 << 20
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _BITS = 20
-_PRIME, _RADIX = (1 << 61) - 1, 1_000_003
 
 RESULT = "doc_id long, item_id long, contaminated boolean, coverage double, matched_tokens long, item_tokens long, n_tiles long, longest_tile long"
 
@@ -58,57 +62,89 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens.word_hashes(fold_latin(raw), offsets, _GAP)
 
 
-def _longest(text: list[int], item: list[int], free_t: list[bool], free_i: list[bool], least: int, size: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least ``size`` unmarked tokens, by a rolling hash of ``size`` tokens."""
-
-    def rolled(seq: list[int], free: list[bool]) -> Iterator[tuple[int, int]]:
-        top, h, run = pow(_RADIX, size - 1, _PRIME), 0, 0
-        for at, token in enumerate(seq):
-            if not free[at]:
-                h, run = 0, 0
-                continue
-            if run == size:
-                h -= seq[at - size] * top
-                run -= 1
-            h = (h * _RADIX + token) % _PRIME
-            run += 1
-            if run == size:
-                yield at - size + 1, h
-
-    where: dict[int, list[int]] = defaultdict(list)
-    for at, h in rolled(item, free_i):
-        where[h].append(at)
-    found = []
-    for at, h in rolled(text, free_t):
-        for to in where.get(h, ()):
-            n = 0
-            while at + n < len(text) and to + n < len(item) and text[at + n] == item[to + n] and free_t[at + n] and free_i[to + n]:
-                n += 1
-            if n >= size:
-                found.append((n, at, to))
-    return found
-
-
-def greedy_tiles(text: list[int], item: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Tiles (length, place in text, place in item), longest first; no token lies in two tiles."""
-    free_t, free_i = [True] * len(text), [True] * len(item)
-    tiles, size = [], max(least, min(len(text), len(item)) // 2)
-    while True:
-        found = sorted(_longest(text, item, free_t, free_i, least, size), key=lambda m: (-m[0], m[1], m[2]))
-        longest = found[0][0] if found else 0
-        if longest > 2 * size:
-            size = longest
+def _rolling(seq: np.ndarray, free: np.ndarray):
+    """Running Karp-Rabin sums over a sequence: a function from a length to the places and hashes of its free windows."""
+    up, down = tokens.powers(len(seq) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(seq * up[: len(seq)])])
+    marked = np.concatenate([[0], np.cumsum(~free)])
+
+    def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
+        last = len(seq) - size + 1
+        at = np.flatnonzero(marked[size:] == marked[:last])
+        return at, tokens.mix((total[at + size] - total[at]) * down[at])
+
+    return windows
+
+
+def _matching(text, item, size: int) -> tuple[np.ndarray, ...]:
+    """Places and hashes of the text's windows whose hash the item has, and of all the item's windows."""
+    at, h = text(size)
+    to, g = item(size)
+    known = np.isin(h, g)
+    return at[known], h[known], to, g
+
+
+def _mark(seq: np.ndarray, other: np.ndarray, found: tuple[np.ndarray, ...], size: int, free_t: np.ndarray, free_i: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles of one length, by place in the text, then in the item.
+
+    All matches have this length and none is longer, so a window that overlaps
+    a new tile covers its first or last token; it never becomes free again, and
+    each list of places is walked once.
+    """
+    at, h, to, g = found
+    order = np.lexsort((to, g))
+    to, g = to[order], g[order]
+    begin, end = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
+    next_place: dict[int, int] = {}
+    tiles, after = [], 0
+    for k in range(len(at)):
+        a = int(at[k])
+        if a < after:
             continue
-        for n, at, to in found:
-            if all(free_t[at : at + n]) and all(free_i[to : to + n]):
-                tiles.append((n, at, to))
-                free_t[at : at + n] = [False] * n
-                free_i[to : to + n] = [False] * n
-        if size == least:
-            if not found:
-                return sorted(tiles, key=lambda m: (-m[0], m[1], m[2]))
-            continue
-        size = max(least, size // 2)
+        lo, hi = int(begin[k]), int(end[k])
+        j = next_place.get(lo, lo)
+        while j < hi and not (free_i[to[j]] and free_i[to[j] + size - 1]):
+            j += 1
+        next_place[lo] = j
+        while j < hi:  # one turn, unless two different windows share a hash
+            b = int(to[j])
+            if free_i[b] and free_i[b + size - 1] and np.array_equal(seq[a : a + size], other[b : b + size]):
+                tiles.append((size, a, b))
+                free_t[a : a + size] = False
+                free_i[b : b + size] = False
+                after = a + size
+                break
+            j += 1
+    return tiles
+
+
+def greedy_tiles(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Tiles (length, place in text, place in item), longest first; no token lies in two tiles.
+
+    The longest length with a free match is found by bisection: a match of some
+    length holds matches of all smaller ones. A round marks all tiles of that
+    length, so there are at most as many rounds as different lengths fit into
+    the item, and a round costs sorted hashes of both sequences, however often
+    a token repeats.
+    """
+    text, item = np.asarray(text, np.uint64), np.asarray(item, np.uint64)
+    free_t, free_i = np.ones(len(text), bool), np.ones(len(item), bool)
+    tiles, most = [], min(len(text), len(item))
+    while most >= least:
+        one, two = _rolling(text, free_t), _rolling(item, free_i)
+        size, lo, hi, found = 0, least, most, None
+        while lo <= hi:
+            middle = (lo + hi) // 2
+            got = _matching(one, two, middle)
+            if len(got[0]):
+                size, found, lo = middle, got, middle + 1
+            else:
+                hi = middle - 1
+        if not size:
+            break
+        tiles += _mark(text, item, found, size, free_t, free_i)
+        most = size - 1
+    return tiles
 
 
 class Benchmark:
@@ -118,6 +154,10 @@ class Benchmark:
         self.ids, self.least = ids, least
         words, at = token_hashes(pa.array(texts, pa.string()))
         self.items = [words[at[i] : at[i + 1]] for i in range(len(ids))]
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for i, item in enumerate(self.items):
+            if 0 < len(item) < least:
+                self.short[item.tobytes()].append(i)
         seeds, owner, place = [], [], []
         for i, item in enumerate(self.items):
             grams = tokens.gram_hashes(item, least)
@@ -140,29 +180,46 @@ class Benchmark:
 
     def matches(self, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, threshold: float) -> Iterator[tuple]:
         """(item, coverage, matched, tokens, tiles, longest) of one document."""
-        first = np.searchsorted(self.seeds, grams, "left")
-        last = np.searchsorted(self.seeds, grams, "right")
-        count = last - first
+        met, which = np.unique(grams, return_inverse=True)  # a repeated seed counts once, so memory follows the benchmark
+        first, count = np.searchsorted(self.seeds, met, "left"), np.searchsorted(self.seeds, met, "right")
+        count -= first
         pick = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        owner, place, spot = self.owner[pick], self.place[pick], np.repeat(hits, count)
+        owner, place, gram = self.owner[pick], self.place[pick], np.repeat(np.arange(len(met)), count)
         order = np.argsort(owner, kind="stable")
         cuts = np.flatnonzero(np.diff(owner[order])) + 1
         for group in np.split(order, cuts):
             i = int(owner[group[0]])
             item, span = self.items[i], np.arange(self.least)
             covered = np.zeros(len(item), dtype=bool)
-            covered[(np.unique(place[group])[:, None] + span).ravel()] = True
+            covered[(place[group][:, None] + span).ravel()] = True
             if covered.sum() < threshold * len(item):
                 continue  # every tile is made of seeds, so its coverage can't be reached
-            used = np.unique((np.unique(spot[group])[:, None] + span).ravel())
-            text: list[int] = []
-            for run in np.split(used, np.flatnonzero(np.diff(used) > 1) + 1):
-                text += [-1 - len(text), *words[run].tolist()]  # a token that equals nothing parts the runs
-            tiles = greedy_tiles(text, item.tolist(), self.least)
+            own = np.zeros(len(met), dtype=bool)
+            own[gram[group]] = True
+            used = np.zeros(len(words) + 1, dtype=bool)
+            spots = hits[own[which]]
+            for k in range(self.least):
+                used[spots + k] = True
+            used = np.flatnonzero(used)
+            gaps = np.flatnonzero(np.diff(used) > 1) + 1
+            # Numbers that equal no token of the item part the runs.
+            text = np.insert(words[used], gaps, self.strangers(i, len(gaps)))
+            tiles = greedy_tiles(text, item, self.least)
             matched = sum(n for n, _, _ in tiles)
             if matched >= threshold * len(item):
                 yield self.ids[i], matched / len(item), matched, len(item), len(tiles), tiles[0][0]
 
+    def strangers(self, i: int, n: int) -> np.ndarray:
+        """A number that no token of an item has, n times."""
+        item = np.sort(self.items[i])
+        value = next(v for v in range(len(item) + 1) if item[min(np.searchsorted(item, np.uint64(v)), len(item) - 1)] != v)
+        return np.full(n, value, np.uint64)
+
+    def whole(self, words: np.ndarray) -> Iterator[tuple]:
+        """Short items whose tokens are all the document's tokens, in order."""
+        for i in self.short.get(words.tobytes(), ()):
+            yield self.ids[i], 1.0, len(words), len(words), 1, len(words)
+
 
 def _scanner(shared, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +234,13 @@ def _scanner(shared, threshold: float):
                 row = np.searchsorted(at, hits, "right") - 1
                 fits = hits + least <= at[row + 1]
                 hits, row = hits[fits], row[fits]
-                if not len(hits):
+                few = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < least)) if bench.short else ()
+                if not len(hits) and not len(few):
                     continue
                 ids, out = part.column(0).to_pylist(), []
-                for own in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(row)) + 1):
+                for r in few:
+                    out += [(ids[r], *m) for m in bench.whole(words[at[r] : at[r + 1]])]
+                for own in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(row)) + 1) if len(hits) else ():
                     r = int(row[own[0]])
                     got = hits[own]
                     out += [(ids[r], *m) for m in bench.matches(words[at[r] : at[r + 1]], got - at[r], grams[got], threshold)]

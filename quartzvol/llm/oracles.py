@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urlfilter
+from . import decontaminate, urlfilter
 from .secrets import BASE, RULES
 
 WARC = """
@@ -142,11 +142,48 @@ def url_sql() -> str:
         """
 
 
+def tiling_sql() -> str:
+    """All diagonal runs of shared tokens; the longest becomes a tile and cuts the others, again and again."""
+    least, threshold = decontaminate.MIN_TILE, decontaminate.THRESHOLD
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+')"
+    grams = lambda table, key: f"SELECT {key}, i, array_to_string(w[i:i + {least - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {least - 2})) AS i FROM {table})"
+    inside = lambda x: f"least(n, greatest(0, {x}))"
+    return rf"""
+        WITH RECURSIVE texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+        items AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, {words} AS w FROM benchmark),
+        cells AS (SELECT r, q, t.i AS a, b.i AS b FROM ({grams("texts", "r")}) t JOIN ({grams("items", "q")}) b USING (g)),
+        diagonals AS (SELECT *, a - row_number() OVER (PARTITION BY r, q, a - b ORDER BY a) AS run FROM cells),
+        step AS (
+            SELECT r, q, min(a) AS a, min(b) AS b, CAST(count(*) + {least - 1} AS BIGINT) AS n, false AS tile FROM diagonals GROUP BY r, q, a - b, run
+            UNION ALL
+            SELECT r, q, a + p.k, b + p.k, p.m, p.tile FROM (
+                SELECT r, q, a, b, unnest([struct_pack(k := CAST(0 AS BIGINT), m := CASE WHEN own THEN n ELSE least(x1, x2) END, tile := own),
+                    struct_pack(k := CASE WHEN x1 <= x2 THEN y1 ELSE y2 END, m := CASE WHEN own THEN 0 WHEN x1 <= x2 THEN x2 - y1 ELSE x1 - y2 END, tile := false),
+                    struct_pack(k := greatest(y1, y2), m := CASE WHEN own THEN 0 ELSE n - greatest(y1, y2) END, tile := false)]) AS p
+                FROM (
+                    SELECT *, a = ta AND b = tb AS own, {inside("ta - a")} AS x1, {inside("ta - a + tn")} AS y1, {inside("tb - b")} AS x2, {inside("tb - b + tn")} AS y2
+                    FROM (SELECT r, q, a, b, n, first_value(a) OVER best AS ta, first_value(b) OVER best AS tb, first_value(n) OVER best AS tn
+                          FROM step WHERE NOT tile WINDOW best AS (PARTITION BY r, q ORDER BY n DESC, a, b))
+                )
+            ) WHERE p.m >= {least}
+        ), tiled AS (
+            SELECT r, q, sum(n) AS matched, count(*) AS n_tiles, max(n) AS longest FROM step WHERE tile GROUP BY r, q
+            UNION ALL
+            SELECT r, q, len(texts.w), 1, len(texts.w) FROM texts JOIN items ON texts.w = items.w WHERE len(items.w) BETWEEN 1 AND {least - 1}
+        )
+        SELECT doc_id, item_id, true AS contaminated, CAST(matched AS DOUBLE) / len(items.w) AS coverage, CAST(matched AS BIGINT) AS matched_tokens, CAST(len(items.w) AS BIGINT) AS item_tokens,
+               CAST(n_tiles AS BIGINT) AS n_tiles, CAST(longest AS BIGINT) AS longest_tile
+        FROM tiled JOIN texts USING (r) JOIN items USING (q) WHERE matched >= {threshold} * len(items.w)
+        """
+
+
 ORACLE_SQL = {
     "op2_secret_scan": secret_sql(),
     "op3_warc": WARC,
     "op5_url_filter": url_sql(),
     "op6_sharding": SHARDS,
     "op7_minhash_near_dedup": NEAR,
+    "op9_benchmark_decontamination": tiling_sql(),
     "op10_exact_dedup": EXACT,
 }

@@ -42,6 +42,11 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the rolling hash's base and of its inverse."""
+    return _Powers.get(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising mixer: every input bit reaches every output bit."""
     h = h ^ (h >> _U(33))

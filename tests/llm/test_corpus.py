@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,7 +162,7 @@ def test_without_labels_nothing_is_known(spark):
 
 def tiles_by_hand(text, item, least):
     """Greedy string tiling by comparing all places."""
-    mt, mi, total = set(), set(), 0
+    mt, mi, tiles = set(), set(), []
     while True:
         best = (0, 0, 0)
         for a in range(len(text)):
@@ -172,21 +173,35 @@ def tiles_by_hand(text, item, least):
                 if n > best[0]:
                     best = (n, a, b)
         if best[0] < least:
-            return total
+            return tiles
         mt |= set(range(best[1], best[1] + best[0]))
         mi |= set(range(best[2], best[2] + best[0]))
-        total += best[0]
-
-
-def test_tiles_equal_brute_force():
-    rng = random.Random(0)
-    for _ in range(150):
-        item = [rng.randrange(12) for _ in range(rng.randrange(4, 40))]
-        text = [rng.randrange(12) for _ in range(20)] + item[len(item) // 2 :] + [99] + item[: len(item) // 2]
-        tiles = decontaminate.greedy_tiles(text, item, 3)
-        assert sum(n for n, _, _ in tiles) == tiles_by_hand(text, item, 3)
-        for n, a, b in tiles:
-            assert text[a : a + n] == item[b : b + n]
+        tiles.append(best)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 12])
+def test_tiles_equal_brute_force(letters):
+    rng = random.Random(letters)
+    for _ in range(80):
+        item = [rng.randrange(letters) for _ in range(rng.randrange(4, 40))]
+        text = [rng.randrange(letters) for _ in range(20)] + item[len(item) // 2 :] + [99] + item[: len(item) // 2]
+        assert decontaminate.greedy_tiles(text, item, 3) == tiles_by_hand(text, item, 3)
+
+
+def test_repeated_tokens_stay_cheap(spark):
+    began = time.process_time()
+    assert decontaminate.greedy_tiles([7] * 5000, [7] * 2000) == [(2000, 0, 0)]
+    assert sum(n for n, _, _ in decontaminate.greedy_tiles([1, 2] * 2500 + [3] + [2] * 5000, [2] * 1000 + [1, 2] * 500)) == 2000
+    assert time.process_time() - began < 2
+    bench = spark.createDataFrame([(1, "ha " * 200), (2, "ha " * 300 + "ho")], "item_id long, text string")
+    rows = decontaminate.contamination(docs(spark, [(1, "ha " * 300_000, None, None), (2, "ho " * 9, None, None)]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched_tokens"], r["n_tiles"]) for r in rows) == [(1, 1, 200, 1), (1, 2, 300, 1)]
+
+
+def test_short_items_match_whole_documents_only(spark):
+    bench = spark.createDataFrame([(1, "Yes, it is."), (2, "yes IT is"), (3, "no"), (4, "...")], "item_id long, text string")
+    rows = decontaminate.contamination(docs(spark, [(1, "yes it is", None, None), (2, "yes it is so", None, None), (3, "No!", None, None), (4, " . ", None, None), (5, "is it yes", None, None)]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in rows) == [(1, 1, 1.0), (1, 2, 1.0), (3, 3, 1.0)]
 
 
 def test_leaks_are_caught_also_reordered(spark):

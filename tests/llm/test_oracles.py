@@ -17,7 +17,7 @@ DATA = Path("/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = sorted(c[0] for c in found.description)
