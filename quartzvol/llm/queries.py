@@ -16,7 +16,8 @@ from .workspace import Workspace, table
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size", "mix_key")
-    mixed = mixing.mix(Workspace(spark, "sizes").save(docs))
+    docs = Workspace(spark, "sizes").save(docs)
+    mixed = mixing.mix(docs, mixing.mixing_plan(docs.select("source", "mix_size", "mix_key")))
     return mixed.selectExpr("doc_id", "mix_size AS size", "source_size", "target", "mix_taken AS taken", "mix_shards AS shards", "mix_order AS shuffle_key")
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def targets_by_hand(sizes, share=1.5, cap=2.0):
 
 
 def mixed_rows(spark, rows, **settings):
-    return mixing.mix(mixing.with_sizes(docs(spark, rows)), **settings)
+    return mixing.mix_documents(docs(spark, rows), **settings)
 
 
 def test_mix_meets_its_targets(spark):
@@ -72,13 +74,107 @@ def test_whole_mix_takes_or_leaves(spark):
     assert mixed_rows(spark, []).collect() == []
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of a row of numbers (int is 32 bits wide where ``np.int32``) and strings."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, np.int32) else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def place_by_hand(number, bits, source, copy, seed=7):
+    mask = (1 << bits) - 1
+    for turn in range(4):
+        key = spark_hash(np.int32(seed + 2), np.int32(turn), source, np.int32(copy))
+        number = (number * ((key & 0xFFFFF | 1) & mask) + ((key % (1 << 64)) >> 20 & mask)) & mask
+        number ^= number >> max(1, (bits + 1) // 2)
+    return number
+
+
+def test_taken_and_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 400)
+    rng = random.Random(12)
+    rows = [(k, "w " * rng.randrange(0, 60), None, rng.choice(["a"] * 6 + ["b", "c", None])) for k in range(800)] + [(801, "w " * 3000, None, "b")]
+    sized = mixing.with_sizes(docs(spark, rows)).cache()
+    plan = mixing.mixing_plan(sized.select("source", "mix_size", "mix_key"))
+    planned = {r["mix_source"]: r for r in plan.collect()}
+    out = {r["doc_id"]: r for r in mixing.mix(sized, plan).collect()}
+    by_source = defaultdict(list)
+    for r in sized.collect():
+        by_source[r["source"]].append((r["mix_key"], r["mix_size"], r["doc_id"]))
+    want = targets_by_hand({s: sum(n for _, n, _ in rows) for s, rows in by_source.items()})
+    quotas = [np.diff([0, *planned[s]["mix_ends"]]) for s in by_source]
+    assert max(sum(quotas)) - min(sum(quotas)) <= 4 and len({tuple(q) for q in quotas}) == len(quotas)
+    for source, members in by_source.items():
+        size, target = sum(n for _, n, _ in members), math.floor(want[source] + 0.5)
+        bits = max(0, math.ceil(math.log2((size + len(members)) / 400)))
+        full, rest = divmod(target, size)
+        draws = []  # every repetition's blocks in permuted order, the last one until the target is met
+        blocks = defaultdict(list)
+        for key, n, doc in sorted(members):
+            blocks[spark_hash(np.int32(8), key) & (1 << bits) - 1].append((n, doc))
+        for copy in range(full + 1):
+            order = {place_by_hand(b, bits, source, copy): b for b in range(1 << bits)}
+            assert sorted(order) == list(range(1 << bits))
+            left = rest if copy == full else size
+            for at in range(1 << bits):
+                if left > 0:
+                    draws.append([])
+                for n, doc in blocks[order[at]] if left > 0 else ():
+                    draws[-1].append((doc, min(n, left)))
+                    left -= min(n, left)
+        assert planned[source]["mix_ends"][-1] == len(draws)
+        taken, shards = Counter(), defaultdict(list)
+        for k, draw in enumerate(draws):
+            for doc, n in draw:
+                if n:
+                    taken[doc] += n
+                    shards[doc].append(sum(end <= k for end in planned[source]["mix_ends"]))
+        for _, _, doc in members:
+            assert (out[doc]["mix_taken"], out[doc]["mix_shards"]) == (taken[doc], shards[doc])
+
+
 def test_tree_splits_exactly_and_at_random(spark):
-    blocks = spark.range(1000).select(F.when(F.col("id") < 300, "a").otherwise("b").alias("mix_source"), F.col("id").cast("int").alias("mix_block"), F.lit(0).alias("mix_copy"))
-    rows = mixing.split_tree(blocks, 8, seed=3).collect()
-    per = Counter(r["mix_shard"] for r in rows)
-    assert set(per) == set(range(8)) and max(per.values()) - min(per.values()) <= 3 and len({r["mix_block"] for r in rows}) == 1000
-    share = [sum(r["mix_source"] == "a" for r in rows if r["mix_shard"] == k) for k in range(8)]
-    assert sum(share) == 300 and all(20 <= s <= 56 for s in share) and len(set(share)) > 1
+    quotas = spark.createDataFrame([("a", 300), ("b", 700), (None, 5), ("none", 0)], "source string, quota long")
+    rows = mixing.split_tree(quotas, 8, seed=3).collect()
+    per, own = Counter(), defaultdict(list)
+    for r in rows:
+        per[r["shard"]] += r["quota"]
+        own[r["source"]].append(r["quota"])
+    assert set(per) == set(range(8)) and max(per.values()) - min(per.values()) <= 3
+    assert {s: sum(q) for s, q in own.items()} == {"a": 300, "b": 700, None: 5, "none": 0}
+    assert all(20 <= q <= 56 for q in own["a"]) and len(set(own["a"])) > 1
+
+
+@pytest.mark.parametrize("population, marked, draws", [(50, 20, 10), (5, 5, 3), (40, 3, 39), (100_000, 30_000, 50_000), (1, 0, 1), (9, 4, 0)])
+def test_quotas_follow_the_hypergeometric_law(spark, population, marked, draws):
+    u = spark.range(4000).selectExpr("(id + 0.5D) / 4000 AS u")
+    got = [r[0] for r in u.select(F.expr(mixing.hypergeometric(f"{population}L", f"{marked}L", f"{draws}L", "u"))).collect()]
+    total = math.comb(population, draws) if population < 100 else None
+    assert min(got) >= max(0, draws - (population - marked)) and max(got) <= min(marked, draws)
+    if total:
+        for x in range(min(marked, draws) + 1):
+            chance = math.comb(marked, x) * math.comb(population - marked, draws - x) / total if draws - x <= population - marked else 0
+            assert abs(got.count(x) / 4000 - chance) <= 1.01 / 4000
+    else:
+        spread = math.sqrt(draws * 0.3 * 0.7 * (population - draws) / (population - 1))
+        assert abs(np.mean(got) - draws * 0.3) < spread / 50 and abs(np.std(got) / spread - 1) < 0.02
+
+
+def test_mixing_replaces_clashing_columns_and_shuffles_inside_shards(spark):
+    rows = docs(spark, [(k, "w " * 20, None, "ab"[k % 2]) for k in range(400)]).withColumn("target", F.lit("x")).withColumn("source_size", F.lit(1)).withColumn("shard", F.col("doc_id"))
+    out = mixing.mix_documents(rows)
+    assert sorted(out.columns) == sorted([*docs(spark, []).columns, "shard", "mix_size", *mixing.ADDED]) and out.schema["target"].dataType.typeName() == "double"
+    copies = mixing.repeated(out)
+    parts = mixing.shuffled(copies, 4).select(F.spark_partition_id().alias("p"), "mix_shard", "mix_order", "doc_id").collect()
+    assert len(parts) == copies.count()
+    for p in {r["p"] for r in parts}:
+        own = [(r["mix_shard"], r["mix_order"]) for r in parts if r["p"] == p]
+        assert own == sorted(own)
+    one = [r["doc_id"] for r in sorted((r for r in parts if r["mix_shard"] == parts[0]["mix_shard"]), key=lambda r: r["mix_order"])]
+    assert one != sorted(one)
 
 
 # Sharding
