@@ -38,8 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(mixing.with_sizes(docs), whole=True)
-    return mixing.repeated(mixed).select(*docs.columns)
+    """Rows lie in the order of the mix's output shards, shuffled inside each."""
+    copies = mixing.repeated(mixing.mix_documents(docs, whole=True))
+    return mixing.shuffled(copies).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
