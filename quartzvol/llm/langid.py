@@ -10,17 +10,31 @@ Learning uses at most ``sample_per_language`` labelled documents of each
 language (chosen by a hash of doc_id) and nothing but their text and lang; the
 models then have a fixed size and are sent to the executors whole.
 
+Where rejection is asked for (``train(docs, reject=True)``), one more machine a
+language parts it from noise. Noise is made from at most ``noise_per_language``
+of the sampled documents: letters drawn at random, the document's own letters in
+random order, letters of another script, random digits and letters as in codes.
+A text is rejected when the machine of its predicted language puts it further to
+the noise side than nearly all clean rows of that language and of about its
+length lie (pieces of one word and more are among them, so short texts are
+rejected on strong evidence only).
+
 A text's score is the smallest logistic of the margins that decided for its
 family and its language, so it lies between 0.5 and 1 on a clear path; ``und``
 has score 0.
 
-Defined results: a text that is null or has no letter is ``und``; with no
-labelled rows everything is ``und``; with one language every text with a letter
-gets it, at score 1. Languages that FAMILIES does not list are families of their own.
+Defined results: a text that is null, empty or has no letter is ``und``; with no
+labelled rows everything is ``und``, and an empty table gives an empty result;
+with one language every text with a letter gets it, at score 1. Languages that
+FAMILIES does not list are families of their own. Very long texts are read whole,
+a slice at a time; equal texts get equal answers; ties between classes go to the
+later one by name. ``identify`` reads doc_id and text, ``keep_identified`` passes all
+columns through, so no names clash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +52,12 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 SAMPLE_PER_LANGUAGE = 500
+#: Sampled documents of each language that noise and short pieces are made of.
+NOISE_PER_LANGUAGE = 125
+#: A length's floor lies so many spreads (median to lower sixth of the margins) below the median; a few mislabelled rows don't move it.
+SPREADS = 6.0
+#: No text is rejected above this margin, so the noise machine must be sure.
+HIGHEST_FLOOR = -1.0
 BITS, LONGEST = 12, 3
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
@@ -165,7 +185,81 @@ class Vote:
         return np.array(self.classes, dtype=object)[best], sure
 
 
+#: First code points and sizes of scripts that noise is written in.
+_SCRIPTS = ((0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x621, 26), (0x905, 53), (0xE01, 46), (0x10D0, 33), (0x3042, 80), (0x4E00, 3000), (0xAC00, 3000))
+_CODES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/="
+NOISE_CHARACTERS = 4000
+
+
+def noises(text: str) -> list[str]:
+    """Texts that look like ``text`` but hold no language; the same for the same text."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    at = int(rng.integers(0, max(1, len(text) - NOISE_CHARACTERS + 1)))
+    part = text[at : at + NOISE_CHARACTERS]
+    spots = [k for k, c in enumerate(part) if c.isalpha()]
+    letters = [part[k] for k in spots]
+
+    def written(new: list[str]) -> str:
+        out = list(part)
+        for k, c in zip(spots, new, strict=True):
+            out[k] = c
+        return "".join(out)
+
+    low, size = _SCRIPTS[int(rng.integers(0, len(_SCRIPTS)))]
+    plain = written([chr(97 + int(c)) for c in rng.integers(0, 26, len(spots))])
+    mixed = written([letters[int(k)] for k in rng.permutation(len(letters))])
+    strange = written([chr(low + int(c)) for c in rng.integers(0, size, len(spots))])
+    codes = " ".join("".join(_CODES[int(c)] for c in rng.integers(0, int(rng.choice([16, len(_CODES)])), int(rng.integers(8, 60)))) for _ in range(max(1, len(part) // 40)))
+    return [plain, mixed, strange, codes]
+
+
+def pieces(text: str) -> list[str]:
+    """One, three and twelve words in a row of a text."""
+    rng, words = np.random.default_rng(zlib.crc32(text.encode()) ^ 1), text.split()
+    out = []
+    for n in (1, 1, 3, 12):
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        out.append(" ".join(words[at : at + n]))
+    return out
+
+
+class Rejector:
+    """Per language a machine against noise, and for every length the margin below which a text is no language."""
+
+    def __init__(self, clean: np.ndarray, langs: np.ndarray, letters: np.ndarray, noise: np.ndarray):
+        self.machines, self.floors = {}, {}
+        for lang in sorted(set(langs)):
+            own = clean[langs == lang]
+            machine = Svm(np.concatenate([own, noise]), np.arange(len(own) + len(noise)) < len(own))
+            margin, long = machine.margin(own), letters[langs == lang]
+            floors = [self._floor(m) if len(m := margin[(long >= 2**k) & (long < 2 ** (k + 3))]) >= 20 else -np.inf for k in range(40)]
+            # A longer text never has a lower floor.
+            self.machines[lang] = machine
+            self.floors[lang] = np.minimum(np.maximum.accumulate(floors), HIGHEST_FLOOR)
+
+    @staticmethod
+    def _floor(margins: np.ndarray) -> float:
+        middle, low = np.quantile(margins, [0.5, 0.16])
+        return middle - SPREADS * (middle - low)
+
+    def noisy(self, x: np.ndarray, langs: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=bool)
+        for lang, machine in self.machines.items():
+            rows = np.flatnonzero(langs == lang)
+            if len(rows):
+                size = np.log2(np.maximum(1, letters[rows])).astype(int)
+                out[rows] = machine.margin(x[rows]) < self.floors[lang][np.minimum(size, 39)]
+        return out
+
+
+def letter_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letter bytes of each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(_LETTER[raw])])[at])
+
+
 class LanguageModel:
+    rejector: Rejector | None = None
+
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         families = np.array([family_of(v) for v in langs], dtype=object)
         self.families = Vote(x, families) if len(langs) else None
@@ -190,36 +284,62 @@ def held_out() -> Column:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse features of texts (lang, text, extra), and of the noise and pieces made of the extra ones."""
     for batch in batches:
-        langs, places, values = [], [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = np.frombuffer(text.encode(), dtype=np.uint8)
-            x = features(raw, np.array([0, len(raw)]))[0]
-            at = np.flatnonzero(x)
-            langs.append(lang)
-            places.append(at.astype(np.int32))
-            values.append(x[at].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "places", "vals"])
-
-
-def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
+        langs, kinds, letters, places, values = [], [], [], [], []
+        for lang, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            made = [(WHOLE, text)]
+            if extra:
+                made += [(PIECE, t) for t in pieces(text)] + [(NOISE, t) for t in noises(text)]
+            for kind, part in made:
+                raw = np.frombuffer(part.encode(), dtype=np.uint8)
+                at = np.array([0, len(raw)])
+                x = features(raw, at)[0]
+                spots = np.flatnonzero(x)
+                langs.append(lang)
+                kinds.append(kind)
+                letters.append(int(letter_counts(raw, at)[0]))
+                places.append(spots.astype(np.int32))
+                values.append(x[spots].astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(letters, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            names=["lang", "kind", "letters", "places", "vals"],
+        )
+
+
+WHOLE, PIECE, NOISE = 0, 1, 2
+_SAMPLE = "lang string, kind int, letters long, places array<int>, vals array<float>"
+
+
+def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, reject: bool = False, noise_per_language: int = NOISE_PER_LANGUAGE) -> LanguageModel:
     """Fit on at most ``sample_per_language`` labelled documents of each language, none of them held out."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel(np.zeros((0, BUCKETS), np.float32), np.zeros(0, dtype=object))
     # A hash bound for each language keeps about nine tenths of the allowed number; take() guards the rest.
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 0.9 * sample_per_language / n) if n > sample_per_language else 1.0))])
+    shares = lambda most: F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 0.9 * most / n) if n > most else 1.0))])[F.col("lang")]
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = usable.where((spot < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    rows = chosen.mapInArrow(_sampled, "lang string, places array<int>, vals array<float>").take(sample_per_language * len(counts))
+    extra = spot < shares(noise_per_language) if reject else F.lit(False)
+    chosen = usable.where((spot < shares(sample_per_language)) & F.col("text").rlike(r"\p{L}")).select("lang", "text", extra.alias("extra"))
+    most = len(counts) * (sample_per_language + (8 * noise_per_language if reject else 0))
+    rows = chosen.mapInArrow(_sampled, _SAMPLE).take(most)
     x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
     for i, r in enumerate(rows):
         x[i, r["places"]] = r["vals"]
-    return LanguageModel(x, np.array([r["lang"] for r in rows], dtype=object))
-
-
-def _predictor(shared):
+    langs, kinds = np.array([r["lang"] for r in rows], dtype=object), np.array([r["kind"] for r in rows])
+    letters = np.array([r["letters"] for r in rows])
+    del rows
+    whole = kinds == WHOLE
+    model = LanguageModel(x[whole], langs[whole])
+    if reject and (kinds == NOISE).any():
+        # Whole texts of about the number of pieces, so that neither kind outweighs the other.
+        clean = (kinds == PIECE) | (whole & (np.cumsum(whole) % max(1, whole.sum() // max(1, (kinds == PIECE).sum())) == 0))
+        model.rejector = Rejector(x[clean], langs[clean], letters[clean], x[kinds == NOISE])
+    return model
+
+
+def _predictor(shared, reject: bool = False):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
@@ -229,7 +349,10 @@ def _predictor(shared):
                 known = np.array([has_letter(raw[at[i] : at[i + 1]]) for i in range(batch.num_rows)], dtype=bool)
                 langs, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
                 for a, b in _groups(at):
-                    got, sure = model.predict(features(raw, at[a : b + 1]))
+                    x = features(raw, at[a : b + 1])
+                    got, sure = model.predict(x)
+                    if reject and model.rejector is not None:
+                        got[model.rejector.noisy(x, got, letter_counts(raw, at)[a:b])] = UNKNOWN
                     langs[a:b], scores[a:b] = np.where(known[a:b], got, UNKNOWN), np.where(known[a:b], sure, 0.0)
                 keep = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
@@ -244,16 +367,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows that it rejects: those of unknown language or a score below ``least_score``."""
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` without the rows that hold no language: those without letters and those that the model rejects as noise."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _predictor(shared)
+        predict = _predictor(shared, reject=True)
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], names=["text"])
             for at, found in _numbered(predict(iter([texts]))):
-                known = [lang != UNKNOWN and score >= least_score for lang, score in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+                known = [lang != UNKNOWN for lang in found.column(0).to_pylist()]
                 yield batch.slice(at, found.num_rows).filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

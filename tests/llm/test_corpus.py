@@ -236,6 +236,23 @@ def test_language_id_on_held_out_documents(spark):
     assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in rows if i not in (600, 601, 602))
 
 
+JUNK = ("zqxw vkjh qqpl xkcd zvbn mqwp jjkx wqzv xpqk bvcz hjkq zzxw", "Ελληνικό κείμενο που δεν υπάρχει στο δείγμα και δεν το ξέρει κανείς", "これは日本語の文章です。とても長い文章を書いています。")
+
+
+def test_rejection_parts_language_from_noise(spark):
+    """Measured both ways: nearly all clean rows stay, nearly all noise of some length goes."""
+    rng = random.Random(5)
+    rows = [(k, prose(lang := rng.choice(list(ALPHABET)), rng, rng.randrange(1, 90)), lang, None) for k in range(500)]
+    model = langid.train(docs(spark, rows), 100, reject=True)
+    fresh = [(k, prose(rng.choice(list(ALPHABET)), rng, rng.randrange(1, 90)), None, None) for k in range(400)]
+    noise = [(k, t, None, None) for k, r in enumerate(fresh) if len(r[1]) > 150 for t in langid.noises(r[1])] + [(900, t, None, None) for t in JUNK]
+    assert langid.keep_identified(docs(spark, fresh), model).count() >= 0.99 * len(fresh)
+    assert langid.keep_identified(docs(spark, noise), model).count() <= 0.1 * len(noise)
+    assert langid.keep_identified(docs(spark, [(1, t, None, None) for t in JUNK]), model).count() == 0
+    answers = {r["lang_pred"] for r in langid.identify(docs(spark, noise), model).collect()}
+    assert answers <= set(ALPHABET)  # rejection is the stage's; identification always names a learned language
+
+
 def test_prediction_does_not_depend_on_neighbours():
     rng = random.Random(1)
     texts = [prose(rng.choice(list(ALPHABET)), rng, n).encode() for n in (1, 5, 0, 200, 3)] + [b" x", b"y "]
@@ -398,6 +415,7 @@ def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(12)
     rows = [(k, prose(lang := rng.choice(list(ALPHABET)), rng, rng.randrange(5, 80)), lang, f"s{k % 4}") for k in range(240)]
     rows += [(240 + k, rows[k][1], rows[k][2], "s1") for k in range(20)] + [(300, None, "en", "s0"), (301, "123", "en", "s0")]
+    rows += [(302 + k, t, None, "s0") for k, t in enumerate(JUNK)]  # a test for letters alone would keep these
     leak = prose("en", rng, 40)
     rows += [(310, prose("en", rng, 30) + " " + leak, "en", "s2"), (311, leak + " " + prose("en", rng, 30), "en", "s3")]
     docs(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
@@ -408,7 +426,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name != "sharding":
             assert tuple(out.columns) == corpus_pipeline.COLUMNS
         kept[name], stage_in = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()], out
-    known = [(i, t) for i, t, *_ in rows if i not in (300, 301)]
+    known = [(i, t) for i, t, *_ in rows if not 300 <= i < 305]
     assert Counter(kept["language_id"]) == Counter(known)
     groups = near_by_hand(known)
     alone = [(i, t) for i, t in known if groups[i][1] == i]
