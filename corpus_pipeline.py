@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it to the shared folder as Parquet and reads it again as the next stage's docs.
 All stages but the last return the columns of ``documents``.
 
-    language_id         documents without a language it can tell go
+    language_id         documents without letters go, and those that the model tells from no noise
     near_dedup          the document of smallest doc_id of each near-duplicate group stays
     decontamination     documents that hold a benchmark passage go
     mixing              documents are left, taken or repeated as source targets say
@@ -25,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, langid.train(docs))
+    return langid.keep_identified(docs, langid.train(docs, reject=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
