@@ -4,7 +4,9 @@ Every historical version of a text is addressed by the SHA-256 of its bytes. A
 ledger keeps, per (blob, rule, rule version), the spans that the rule found, so
 a scan looks only at pairs the ledger lacks: new blobs under all rules, old
 blobs under new or changed rules. Findings join back to every path that carries
-the blob. Only DataFrame functions are used.
+the blob. Only DataFrame functions are used. A blob without findings keeps its
+empty entries, so it isn't scanned again; ``scan_documents`` extends a stored
+ledger, first by the base rules and then by the added ones.
 
 A rule finds leftmost matches without overlaps and keeps those whose tested
 group is long enough. Spans are code points, end exclusive: ``split`` gives the
@@ -12,9 +14,11 @@ pieces between matches and ``regexp_extract_all`` the matches, and running
 lengths of both give the places.
 
 Defined results: a null text is the empty blob; rows with a null path id keep
-their findings; equal rows give equal rows; extra columns of the input are
-carried by no result. A blob without findings has an entry with no spans, so it
-isn't scanned again.
+their findings; equal rows give equal rows, and equal texts are one blob; an
+empty table gives an empty result. Matches of two kinds may tie or overlap, each
+kind is searched on its own. A text of any length and any number of matches is
+searched whole, in time that grows with its length. Only doc_id and text are
+read, so no other column's name clashes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, hot_keys, left_join_spread
 
 
 class Rule(NamedTuple):
@@ -38,13 +42,15 @@ class Rule(NamedTuple):
 
 #: Fixed patterns of the base rules, then the ones this scan adds, in reporting order.
 RULES = (
-    Rule("assign", 1, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, r"[:=]"),
+    Rule("assign", 1, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, r"(?:[wW][oO][rR][dD]|[wW][dD]|[eE][tT]|[eE][nN]|[eE][yY])[\"']?\x20*[:=]"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, "AKIA"),
     Rule("hex", 1, r"[0-9a-f]{24,}+", 0, 24, r"[0-9a-f]{24}"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"\.eyJ"),
 )
 BASE = ("assign", "access", "hex")
+#: Matches that one fold lays out.
+CHUNK = 256
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -55,16 +61,34 @@ def spans(text: Column, rule: Rule) -> Column:
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     pieces = F.split(text, rule.pattern, -1)
     lengths = F.zip_with(pieces, whole, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(0)).alias("hit")))
+    placed = _let(lengths, _laid)
+    kept = F.filter(F.arrays_zip(placed.alias("span"), tested.alias("part")), lambda z: z["part"].isNotNull() & (F.length(z["part"]) >= rule.least))
+    found = F.transform(kept, lambda z: z["span"])
+    return F.when(F.regexp_like(text, F.lit(rule.hint)), found).otherwise(F.array().cast(SPANS))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _laid(lengths: Column) -> Column:
+    """Gaps and matches laid end to end. A fold that appends copies its array at each step, so chunks are laid first and then moved."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
-        return F.struct((begin + x["hit"]).alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), (begin + x["hit"]).alias("stop")))).alias("out"))
+        return F.struct((begin + x["hit"]).alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), (begin + x["hit"]).alias("stop"))).alias("out"))
 
-    placed = F.aggregate(lengths, start, step, lambda s: s["out"])
-    kept = F.filter(F.arrays_zip(placed.alias("span"), tested.alias("part")), lambda z: z["part"].isNotNull() & (F.length(z["part"]) >= rule.least))
-    found = F.transform(kept, lambda z: z["span"])
-    return F.when(F.regexp_like(text, F.lit(rule.hint)), found).otherwise(F.array().cast(SPANS))
+    def chunk(k: Column) -> Column:
+        return F.aggregate(F.slice(lengths, k * CHUNK + 1, CHUNK), start, step)
+
+    def moved(chunks: Column) -> Column:
+        ends = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, ends, lambda c, by: F.transform(c["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop")))))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))
+    return _let(F.transform(F.sequence(F.lit(0), last), chunk), moved)
 
 
 def blob_id(text: Column) -> Column:
@@ -75,30 +99,36 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], f"blob string, kind string, version int, spans {SPANS}")
 
 
+def rule_name(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, kind, version, spans) for the unseen blob and rule pairs of ``versions`` (text).
 
-    One copy of each blob is scanned. Without a ledger all rules apply to all
-    blobs and the rules are evaluated in one pass; with one, blobs that have
-    seen every rule drop out before their text is shuffled.
+    A text whose hints for the unseen rules are all absent gets its empty rows
+    from its address alone. Only texts with a hint travel, one copy of each blob,
+    and of those only blobs with an unseen pair are searched.
     """
-    texts = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is None:
-        blobs = texts.dropDuplicates(["blob"]).withColumn("seen", F.array().cast("array<string>"))
-    else:
-        current = [f"{r.kind}:{r.version}" for r in rules]
-        name = F.concat_ws(":", "kind", F.col("version").cast("string"))
-        seen = ledger.where(name.isin(current)).groupBy("blob").agg(F.collect_set(name).alias("seen"))
-        blobs = texts.join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules)).dropDuplicates(["blob"])
-        blobs = blobs.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    names = F.array(*[F.lit(rule_name(r)) for r in rules])
+    text = F.coalesce("text", F.lit(""))
+    hinted = F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(r.hint)), F.lit(rule_name(r))) for r in rules]))
+    texts = versions.select(blob_id(F.col("text")).alias("blob"), hinted.alias("hinted"), text.alias("text"))
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    name = F.concat_ws(":", "kind", F.col("version").cast("string"))
+    seen = ledger.where(name.isin([rule_name(r) for r in rules])).groupBy("blob").agg(F.collect_set(name).alias("seen"))
+
+    def lacking(blobs: DataFrame) -> DataFrame:
+        return blobs.join(seen, "blob", "left").withColumn("lack", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
+
+    empty = lacking(texts.select("blob", "hinted").distinct()).select("blob", F.explode(F.array_except("lack", "hinted")).alias("name"))
+    empty = empty.select("blob", F.substring_index("name", ":", 1).alias("kind"), F.substring_index("name", ":", -1).cast("int").alias("version"), F.array().cast(SPANS).alias("spans"))
+    met = lacking(texts.where(F.size("hinted") > 0).dropDuplicates(["blob"])).withColumn("lack", F.array_intersect("lack", "hinted")).where(F.size("lack") > 0)
     each = [
-        F.when(
-            ~F.array_contains("seen", f"{r.kind}:{r.version}"),
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")),
-        )
-        for r in rules
+        F.when(F.array_contains("lack", rule_name(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules
     ]
-    return blobs.select("blob", F.explode(F.array_compact(F.array(*each))).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
+    found = met.select("blob", F.explode(F.array_compact(F.array(*each))).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
+    return empty.union(found)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -111,15 +141,26 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     hits = ledger.where(k.isNotNull() & (F.size("spans") > 0))
     rows = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), k.alias("k"), s["stop"].alias("stop")))
     by_blob = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("found"))
-    paths = versions.select("doc_id", blob_id(F.col("text")).alias("blob"))
-    return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,stop:int>>")).alias("found"))
+    ws = Workspace(versions.sparkSession, "paths")
+    by_blob = ws.save(by_blob, "found")
+    paths = ws.save(versions.select("doc_id", blob_id(F.col("text")).alias("blob")), "paths")
+    hot = hot_keys(paths, "blob", paths.count())
+    joined = left_join_spread(paths, by_blob, "blob", hot, F.col("doc_id"))
+    return joined.select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,stop:int>>")).alias("found"))
+
+
+def extended(ws: Workspace, docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A stored ledger with the rows that ``docs`` and ``rules`` add to it."""
+    return ledger.union(ws.save(scan(docs, ledger, rules), "ledger"))
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """A first scan of a whole table with an empty ledger: (doc_id, found) for every row."""
+def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, found) for every row, over a stored ledger: first the base rules scan what it lacks, then all rules what it lacks by then."""
     ws = Workspace(docs.sparkSession, "secrets")
-    ledger = ws.save(scan(docs).where(F.size("spans") > 0), "ledger")
-    return findings(docs, ledger)
+    ledger = ws.save(empty_ledger(docs.sparkSession) if ledger is None else ledger, "ledger")
+    ledger = extended(ws, docs, ledger, tuple(r for r in rules if r.kind in BASE))
+    ledger = extended(ws, docs, ledger, rules)
+    return findings(docs, ledger, rules)
 
 
 def digest_columns(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

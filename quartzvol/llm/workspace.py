@@ -76,19 +76,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def join_spans(kinds: Iterable[str], spans: Column) -> Column:
-    """``kind:start:end`` of an ordered array of (start, k, stop), comma-joined."""
-    names = F.array(*[F.lit(k) for k in kinds])
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda s: F.concat_ws(
-                ":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["stop"].cast("string")
-            ),
-        ),
-        ",",
-    )
+#: A key is hot when more than this part of all rows carries it, so there are fewer hot keys than HOT_KEYS.
+HOT_KEYS = 1024
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys that more than 1 / HOT_KEYS of ``total`` rows carry; counted with partial sums, so no task gets a hot key's rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") * HOT_KEYS > total) & F.col(key).isNotNull()).select(key)
+
+
+def left_join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` LEFT JOIN ``table`` (one row a key, other column names) on ``key``, without a task that gets a hot key's rows.
+
+    Rows of a hot key meet the table's few hot rows in a broadcast (fewer than
+    HOT_KEYS); in the shuffle that joins the rest they are dealt by ``spread``.
+    """
+    values = [c for c in table.columns if c != key]
+    few = table.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("__hot"), F.struct(*values).alias("__few"))
+    first = rows.join(F.broadcast(few), F.col(key) == F.col("__hot"), "left")
+    kind = dict(rows.dtypes)[key]
+    # A dealt row's key equals none of the table's: no digest or number of the table looks so.
+    away = F.concat(F.lit("~"), F.hex(F.xxhash64(spread))).cast(kind) if kind in ("string", "binary") else F.lit(None).cast(kind)
+    others = table.join(F.broadcast(hot), key, "left_anti").select(F.col(key).alias("__key"), F.struct(*values).alias("__rest"))
+    both = first.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(away)).join(others, F.col("__at") == F.col("__key"), "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col("__few")[v], F.col("__rest")[v]).alias(v) for v in values])

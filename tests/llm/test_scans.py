@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzvol.llm import pii, secrets, urlfilter
+from quartzvol.llm.workspace import hot_keys, left_join_spread
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ("assign", "access", "hex")
@@ -52,6 +53,24 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert {(r["kind"], r["version"]) for r in again.collect()} == {("assign", 2)}
     found = {r["doc_id"]: len(r["found"]) for r in secrets.findings(df, first.union(again), changed).collect()}
     assert found == {1: 1, 2: 1, 3: 0}
+    # A stored finding that no rule would make shows that seen pairs are taken from the ledger.
+    planted = first.withColumn("spans", F.when(F.col("kind") == "pem", F.expr("array(named_struct('start', 1, 'stop', 2))")).otherwise(F.col("spans")))
+    assert {tuple(map(tuple, r["found"][:1])) for r in secrets.scan_documents(df, planted).collect() if r["doc_id"] == 3} == {((1, 3, 2),)}
+
+
+def test_many_matches_stay_linear(spark):
+    df = spark.createDataFrame([(1, "0123456789abcdef01234567 " * 64_000), (2, "token=abcdefgh, " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secrets.digest_columns(secrets.scan_documents(df)).collect()}
+    assert (rows[1]["n_hex"], rows[2]["n_assign"]) == (64_000, 20_000) and time.time() - began < 30
+    assert rows[1]["spans"].endswith(f"hex:{25 * 63_999}:{25 * 63_999 + 24}") and rows[2]["spans"].startswith("assign:0:14,assign:16:30,")
+
+
+def test_hot_keys_join_apart(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("key"))
+    table = spark.range(0, 3000, 2).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", -1)], "key string, v long"))
+    got = left_join_spread(rows, table, "key", hot_keys(rows, "key", 3000), F.col("id"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "key", "left").select("id", "key", "v").collect()))
 
 
 def pii_by_hand(t):
