@@ -15,10 +15,11 @@ On a table the index is used twice, never over more than one shard:
     * reduce side: entries are dealt by digest, and each shard folds them into
       its index, which then holds the shard's live digests.
 
-Defined results: a null doc_id never wins over a number; a group of null ids
+Defined results: empty texts are equal to each other and to null ones; a very
+long text costs its digest only; an empty table gives an empty result; a null doc_id never wins over a number; a group of null ids
 only has keep_id null and keeps its rows (there is nothing to tell them apart
 by). Rows that repeat both text and the winning doc_id are all kept, since they
-are one document. Other columns of the input are not read.
+are one document. Other columns of the input are not read, so no names clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import HOT_KEYS, Workspace, left_join_spread
 
 SLOTS, MOST_KICKS = 4, 200
 #: Distinct digests that a task's index holds before its entries are sent on.
@@ -204,7 +205,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
     hashed = ws.save(hashed, "digests")
     groups = ws.save(live_digests(hashed).where("n > 1"), "groups")
-    out = hashed.join(groups, "key", "left")
+    hot = groups.where(F.col("n") * HOT_KEYS > hashed.count()).select("key")
+    out = left_join_spread(hashed, groups, "key", hot, F.col("doc_id"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return out.select(
         "doc_id",
