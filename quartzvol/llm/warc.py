@@ -17,8 +17,13 @@ retried or speculative task does no harm.
 Defined results: a null payload is the empty payload; a null page_id is written
 without its header and read back as null, and never is the page that others
 revisit; of equal payloads all rows that carry the largest page_id are
-responses. A record that fails validation has ``error`` set and no payload, and
-reading goes on with the next frame; ``strict`` raises instead.
+responses. A frame that doesn't decode and a record that fails validation have
+``error`` set and no payload, and reading goes on with the next frame (a cut end
+gives one error row); a wrong dictionary or a damaged one's records are error
+rows too; ``strict`` raises instead. A very long payload is a frame like any other and
+sets the reader's memory; equal rows are records of their own; an empty table
+gives no archive and no row. Only page_id, url and html are read, so no other
+column's name clashes.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import HOT_KEYS, Workspace, left_join_spread
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 LEAST_REVISIT_BYTES = 1000
@@ -144,64 +149,126 @@ class ArchiveWriter:
 
 
 class _Stream:
-    """Bytes of an input stream, held only from the current place on."""
+    """Bytes of an input stream, held from the current place on; the front is cut off only when more is read."""
 
     def __init__(self, source):
-        self.source, self.held, self.place = source, b"", 0
+        self.source, self.held, self.at, self.gone = source, b"", 0, 0
+
+    @property
+    def place(self) -> int:
+        return self.gone + self.at
 
     def have(self, n: int) -> bool:
-        while len(self.held) < n:
-            more = self.source.read(max(CHUNK, n - len(self.held)))
+        while len(self.held) - self.at < n:
+            more = self.source.read(max(CHUNK, n - len(self.held) + self.at))
             if not more:
                 return False
-            self.held += more
+            self.gone += self.at
+            self.held, self.at = self.held[self.at :] + more, 0
         return True
 
+    def look(self, n: int, skip: int = 0) -> bytes:
+        """Up to n of the next bytes."""
+        self.have(n + skip)
+        return self.held[self.at + skip : self.at + skip + n]
+
     def take(self, n: int) -> bytes:
         if not self.have(n):
-            raise ValueError("the archive ends inside a frame")
-        out, self.held = self.held[:n], self.held[n:]
-        self.place += n
-        return out
+            raise DamagedFrame("the archive ends inside a frame")
+        self.at += n
+        return self.held[self.at - n : self.at]
+
+    def seek_frame(self) -> bool:
+        """Go on to the next place after this one where a frame may begin; False at the end."""
+        self.take(1)
+        while self.have(4):
+            found = self.held.find(_MAGIC, self.at)
+            if found >= 0:
+                self.at = found
+                return True
+            self.at = len(self.held) - 3
+            if not self.have(4):
+                break
+        self.at = len(self.held)
+        return False
+
+
+_MAGIC = struct.pack("<I", FRAME)
+
+
+class DamagedFrame(ValueError):
+    """A frame that can't be read."""
 
 
 def _frame_length(stream: _Stream) -> int:
     """Length of the Zstandard frame at the stream's place, from its block headers."""
-    stream.have(18)
-    if len(stream.held) < 6:
-        raise ValueError("the archive ends inside a frame")
-    at = zstandard.frame_header_size(stream.held)
-    checksum = bool(stream.held[4] & 4)
+    head = stream.look(18)
+    try:
+        at = zstandard.frame_header_size(head)
+    except zstandard.ZstdError as e:
+        raise DamagedFrame(f"no frame header: {e}") from e
+    checksum = bool(head[4] & 4)
     while True:
-        if not stream.have(at + 3):
-            raise ValueError("the archive ends inside a frame")
-        head = int.from_bytes(stream.held[at : at + 3], "little")
-        at += 3 + (1 if (head >> 1) & 3 == 1 else head >> 3)
-        if head & 1:
+        block = stream.look(3, at)
+        if len(block) < 3:
+            raise DamagedFrame("the archive ends inside a frame")
+        field = int.from_bytes(block, "little")
+        kind, size = (field >> 1) & 3, field >> 3
+        if kind == 3 or size > 1 << 17:
+            raise DamagedFrame("no block header where one must be")
+        at += 3 + (1 if kind == 1 else size)
+        if field & 1:
             return at + 4 * checksum
 
 
-def frames(source) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of each record's frame of an archive."""
+def _next_frame(stream: _Stream, unzip: zstandard.ZstdDecompressor) -> bytes:
+    frame = stream.look(_frame_length(stream))
+    try:
+        found = unzip.decompressobj()
+        content = found.decompress(frame)
+    except zstandard.ZstdError as e:
+        if stream.look(4, len(frame)) in (b"", _MAGIC):  # its block headers led to where a frame ends
+            stream.take(len(frame))
+        raise DamagedFrame(f"the frame doesn't decode: {e}") from e
+    if not found.eof:
+        raise DamagedFrame("the archive ends inside a frame")
+    stream.take(len(frame))
+    return content
+
+
+def frames(source) -> Iterator[tuple[int, bytes | DamagedFrame]]:
+    """(offset, content) of each record's frame of an archive; of a frame that can't be read, its error.
+
+    After damage reading goes on at the frame's end when that can be trusted to
+    begin another frame, and at the next place that looks like a frame's beginning otherwise.
+    """
     stream, unzip = _Stream(source), zstandard.ZstdDecompressor()
     while stream.have(1):
-        if not stream.have(8):
-            raise ValueError("the archive ends inside a frame")
-        magic, size = struct.unpack("<II", stream.held[:8])
-        if magic & 0xFFFFFFF0 == 0x184D2A50:
-            leading = stream.place == 0 and magic == SKIPPABLE
-            stream.take(8)
-            content = stream.take(size)
-            if leading:
-                packed = content[:4] == struct.pack("<I", FRAME)
-                data = zstandard.ZstdDecompressor().decompress(content) if packed else content
-                unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
-        elif magic == FRAME:
-            at = stream.place
-            frame = stream.take(_frame_length(stream))
-            yield at, unzip.decompressobj().decompress(frame)
-        else:
-            raise ValueError("neither a Zstandard frame nor a skippable one")
+        at = stream.place
+        try:
+            magic = int.from_bytes(stream.look(4), "little")
+            if magic & 0xFFFFFFF0 == 0x184D2A50:
+                size = int.from_bytes(stream.look(4, 4), "little")
+                stream.take(8)
+                content = stream.take(size)
+                if at == 0 and magic == SKIPPABLE:
+                    unzip = _with_dictionary(content)
+            elif magic == FRAME:
+                yield at, _next_frame(stream, unzip)
+            else:
+                raise DamagedFrame("neither a Zstandard frame nor a skippable one")
+        except DamagedFrame as e:
+            yield at, e
+            if stream.place == at and not stream.seek_frame():
+                return
+
+
+def _with_dictionary(content: bytes) -> zstandard.ZstdDecompressor:
+    try:
+        data = zstandard.ZstdDecompressor().decompress(content) if content[:4] == _MAGIC else content
+        return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
+    except zstandard.ZstdError as e:
+        raise DamagedFrame(f"the dictionary's frame doesn't decode: {e}") from e
 
 
 def train_dictionary(pages: DataFrame) -> bytes | None:
@@ -247,8 +314,9 @@ def with_revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= LEAST_REVISIT_BYTES)
-    groups = ws.save(large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL").select("digest", "last"), "groups")
-    joined = rows.join(groups, "digest", "left")
+    groups = ws.save(large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL"), "groups")
+    hot = groups.where(F.col("n") * HOT_KEYS > pages.count()).select("digest")
+    joined = left_join_spread(rows, groups.select("digest", "last"), "digest", hot, F.col("page_id"))
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"))
 
@@ -276,6 +344,8 @@ def _reader(folder: str, payloads: bool, strict: bool):
                     for at, raw in frames(source):
                         row = {"path": path, "record_offset": at}
                         try:
+                            if isinstance(raw, DamagedFrame):
+                                raise raw
                             row |= parse_record(raw)
                         except ValueError as e:
                             if strict:
