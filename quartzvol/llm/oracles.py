@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import decontaminate, urlfilter
 from .secrets import BASE, RULES
 
@@ -98,15 +100,14 @@ def secret_sql() -> str:
 
 
 def url_sql() -> str:
-    """Every combination of up to LONGEST frequent tokens of a labelled URL is counted, instead of grown."""
+    """Every combination of a labelled URL's open items is counted, instead of grown; classes are told by their lists of URLs."""
     ordered = sorted(urlfilter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in ordered)
-    sets = []
-    for n in range(1, urlfilter.LONGEST + 1):
-        joins = " ".join(f"JOIN one t{k} ON t{k}.id = t1.id AND t{k}.token > t{k - 1}.token" for k in range(2, n + 1))
-        sets.append(f"SELECT t1.id, t1.blocked, [{', '.join(f't{k}.token' for k in range(1, n + 1))}] AS items FROM one t1 {joins}")
+    prior, share, sure = urlfilter.PRIOR, urlfilter.MIN_SUPPORT, urlfilter.MIN_CONFIDENCE
+    enough = math.ceil(sure * prior / (1 - sure) - 1e-9)
+    strong = f"b >= bound.least AND CAST(b AS DOUBLE) / (n + {prior}) >= {sure}"
     return rf"""
-        WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h, coalesce(rest, '') AS rest FROM cut),
         urls AS (
             SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -119,26 +120,31 @@ def url_sql() -> str:
                        list_transform(list_filter(string_split_regex(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: 'p:' || x))) AS tokens
             FROM judged j LEFT JOIN known USING (page_id)
         ), labelled AS (SELECT row_number() OVER () AS id, tokens, blocked FROM tokens WHERE blocked IS NOT NULL),
-        bound AS (SELECT least(1.0::DOUBLE, greatest({urlfilter.MIN_SUPPORT}::DOUBLE, {urlfilter.MIN_ROWS}::DOUBLE / greatest(1, count(*)))) AS least, count(*) AS n FROM labelled WHERE blocked OR len(tokens) > 0),
+        bound AS (SELECT greatest({enough}, ceil({share} * count(*) - 1e-9)) AS least, count(*) AS total FROM labelled),
         flat AS (SELECT id, blocked, unnest(tokens) AS token FROM labelled),
-        counts AS (SELECT token, count(*) AS n, count(*) FILTER (blocked) AS b FROM flat GROUP BY token),
-        one AS (SELECT flat.* FROM flat JOIN counts USING (token), bound WHERE b >= ceil(least * bound.n)),
-        itemsets AS ({" UNION ALL ".join(sets)}),
-        freq AS (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM itemsets GROUP BY items),
-        rules AS (
-            SELECT items, CAST(b AS DOUBLE) / freq.n AS confidence, CAST(b AS DOUBLE) / bound.n AS support
-            FROM freq, bound WHERE b >= ceil(least * bound.n) AND CAST(b AS DOUBLE) / freq.n >= {urlfilter.MIN_CONFIDENCE}
-        ), weak AS (
-            SELECT DISTINCT r.items FROM (SELECT *, unnest(items) AS gone FROM rules WHERE len(items) > 1) r
-            JOIN rules p ON p.items = list_filter(r.items, lambda x: x <> r.gone) WHERE p.confidence >= r.confidence
-        ), pruned AS (SELECT * FROM rules ANTI JOIN weak USING (items)),
-        best AS (
-            SELECT host, path, max(struct_pack(c := confidence, s := support, m := array_to_string(items, '+'))) AS best
-            FROM (SELECT DISTINCT host, path, tokens FROM tokens WHERE fixed IS NULL) u JOIN pruned ON list_has_all(u.tokens, pruned.items) GROUP BY host, path
+        classes AS MATERIALIZED (SELECT token, min(token) OVER (PARTITION BY ids) AS item FROM (SELECT token, list(id ORDER BY id) AS ids FROM flat GROUP BY token)),
+        held AS MATERIALIZED (SELECT DISTINCT id, blocked, item FROM flat JOIN classes USING (token)),
+        counts AS (SELECT item, count(*) AS n, count(*) FILTER (blocked) AS b FROM held GROUP BY item),
+        alone AS (SELECT [item] AS items, n, b FROM counts, bound WHERE {strong}),
+        open AS MATERIALIZED (SELECT id, blocked, item FROM held JOIN counts USING (item), bound WHERE b >= bound.least AND NOT ({strong})),
+        itemsets AS (
+            SELECT id, blocked, [item] AS items FROM open
+            UNION ALL
+            SELECT s.id, s.blocked, list_append(s.items, o.item) FROM itemsets s JOIN open o ON o.id = s.id AND o.item > s.items[-1]
+        ), longer AS MATERIALIZED (
+            SELECT items, n, b FROM (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM itemsets WHERE len(items) > 1 GROUP BY items), bound WHERE {strong}
+        ), rules AS (
+            SELECT items, CAST(b AS DOUBLE) / (n + {prior}) AS confidence, CAST(b AS DOUBLE) / bound.total AS support
+            FROM (SELECT * FROM alone UNION ALL SELECT * FROM longer l WHERE NOT EXISTS (SELECT 1 FROM longer s WHERE len(s.items) < len(l.items) AND list_has_all(l.items, s.items))), bound
+        ), asked AS (
+            SELECT host, path, list(DISTINCT item) AS items FROM (SELECT DISTINCT host, path, unnest(tokens) AS token FROM tokens WHERE fixed IS NULL) JOIN classes USING (token) GROUP BY host, path
+        ), best AS (
+            SELECT host, path, max(struct_pack(c := confidence, s := support, m := array_to_string(rules.items, '+'))) AS best
+            FROM asked JOIN rules ON list_has_all(asked.items, rules.items) GROUP BY host, path
         )
-        SELECT page_id, host, path, split_part(fixed, ' ', 2) AS rule, CASE WHEN fixed IS NOT NULL THEN split_part(fixed, ' ', 1) WHEN best IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+        SELECT page_id, tokens.host AS host, tokens.path AS path, split_part(fixed, ' ', 2) AS rule, CASE WHEN fixed IS NOT NULL THEN split_part(fixed, ' ', 1) WHEN best IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
                best.m AS mined, best.c AS confidence
-        FROM tokens LEFT JOIN best USING (host, path)
+        FROM tokens LEFT JOIN best ON tokens.host = best.host AND tokens.path = best.path AND fixed IS NULL
         """
 
 

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from quartzvol.llm import pii, secrets, urlfilter
-from quartzvol.llm.workspace import hot_keys, left_join_spread
+from quartzvol.llm.workspace import Workspace, hot_keys, left_join_spread
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ("assign", "access", "hex")
@@ -208,6 +209,60 @@ def test_mined_rules_catch_what_labels_teach(spark):
     assert all(got[k] == "block" for k, _ in bad) and all(got[k] == "allow" for k, _ in good)
 
 
-def test_pruning_keeps_the_shortest_rules(spark):
-    rules = spark.createDataFrame([(["a"], 0.9, 0.1), (["a", "b"], 0.9, 0.1), (["b", "c"], 1.0, 0.1)], "antecedent array<string>, confidence double, support double")
-    assert sorted(r["antecedent"] for r in urlfilter.pruned(rules).collect()) == [["a"], ["b", "c"]]
+def mined_by_hand(labelled, min_support, min_confidence):
+    """Rules as {items: (n, b)}: all combinations of all items, the shortest strong ones."""
+    rows = defaultdict(set)
+    for k, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            rows[t].add(k)
+    names = {}
+    for t in sorted(rows, reverse=True):
+        names[frozenset(rows[t])] = t
+    item = {t: names[frozenset(r)] for t, r in rows.items()}
+    held = [frozenset(item[t] for t in tokens) for tokens, _ in labelled]
+    counted = defaultdict(lambda: [0, 0])
+    for items, (_, blocked) in zip(held, labelled, strict=True):
+        for size in range(1, len(items) + 1):
+            for some in combinations(sorted(items), size):
+                counted[frozenset(some)][0] += 1
+                counted[frozenset(some)][1] += blocked
+    strong = {s: (n, b) for s, (n, b) in counted.items() if b >= min_support * len(labelled) and b / (n + urlfilter.PRIOR) >= min_confidence}
+    return {tuple(sorted(s)): v for s, v in strong.items() if not any(other < s for other in strong)}
+
+
+def test_mining_equals_brute_force(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        labelled = []
+        for _ in range(400):
+            tokens = {f"t{rng.randrange(7)}" for _ in range(rng.randrange(0, 6))}
+            tokens |= {"twin1", "twin2"} if rng.random() < 0.2 else set()
+            blocked = {"t1", "t2"} <= tokens or {"t3", "t4", "twin1"} <= tokens or rng.random() < 0.05
+            labelled.append((sorted(tokens), blocked))
+        df = spark.createDataFrame(labelled, "tokens array<string>, blocked boolean")
+        for support, confidence in ((0.002, 0.8), (0.03, 0.6)):
+            _, index = urlfilter.mine(Workspace(spark, "t"), df, support, confidence)
+            got = {tuple(r["items"]): (r["confidence"], r["support"]) for r in index.collect()}
+            want = mined_by_hand(labelled, support, confidence)
+            assert got == {s: (pytest.approx(b / (n + 2)), pytest.approx(b / 400)) for s, (n, b) in want.items()}
+            assert any(len(s) > 1 for s in got)
+
+
+def test_shared_tokens_do_not_multiply(spark):
+    """Forty URLs that share forty tokens, some of them also in clean ones, and one very long URL."""
+    shared = "/".join(f"w{k}" for k in range(40))
+    urls = [(k, f"http://h{k}.a.biz/{shared}/{k}") for k in range(40)] + [(100 + k, f"http://h{k}.b.biz/w0/w1/{k}") for k in range(300)]
+    urls += [(999, "http://c.biz/" + "x/" * 100_000), (1000, f"http://z.c.biz/{shared}")]
+    labels = spark.createDataFrame([(k, True) for k in range(40)] + [(100 + k, False) for k in range(290)], "page_id long, blocked boolean")
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), labels).collect()}
+    assert time.time() - began < 60  # a slow machine's jobs; combinations of 40 tokens would not end
+    assert all(got[k] == "block" for k in [*range(40), 1000]) and all(got[100 + k] == "allow" for k in range(300)) and got[999] == "allow"
+
+
+def test_a_handful_of_labels_makes_no_rule(spark):
+    urls = [(k, f"http://x.spam.biz/buy/{k}") for k in range(12)]
+    labels = lambda n: spark.createDataFrame([(k, True) for k in range(n)], "page_id long, blocked boolean")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    assert {r["verdict"] for r in urlfilter.judge(pages, labels(7)).collect()} == {"allow"}
+    assert {r["verdict"] for r in urlfilter.judge(pages, labels(8)).collect()} == {"block"}
