@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import HOT_KEYS, Workspace, left_join_spread
+from .workspace import Workspace, hot_among, spread_join
 
 SLOTS, MOST_KICKS = 4, 200
 #: Distinct digests that a task's index holds before its entries are sent on.
@@ -205,8 +205,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
     hashed = ws.save(hashed, "digests")
     groups = ws.save(live_digests(hashed).where("n > 1"), "groups")
-    hot = groups.where(F.col("n") * HOT_KEYS > hashed.count()).select("key")
-    out = left_join_spread(hashed, groups, "key", hot, F.col("doc_id"))
+    out = spread_join(hashed, groups, ["key"], hot_among(groups, ["key"], "n", hashed.count()), F.col("doc_id"))
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return out.select(
         "doc_id",

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import connected_components
-from .workspace import Workspace
+from .workspace import Workspace, hot_among, hot_keys, spread_join
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, SKETCH_WORDS = 32, 4, 4
@@ -52,8 +52,8 @@ BANDS, ROWS, SKETCH_WORDS = 32, 4, 4
 SKETCH_FLOOR = 0.40
 #: Turns of hub pairs before the exact finish.
 TURNS = 4
-#: Members of a bucket that one salt of the exact finish holds.
-BLOCK = 4096
+#: Members of each side that meet in one cell of the exact finish.
+BLOCK = 1024
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -161,21 +161,29 @@ def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
 
 
-def _open(ws: Workspace, labelled: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold more than one component."""
-    keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return ws.save(labelled.join(keys, "key"), "open")
+def _open(ws: Workspace, labelled: DataFrame, turn: int) -> DataFrame:
+    """The rows of buckets that still hold more than one component, with the buckets' hubs of this turn.
+
+    Buckets are summed up by partial sums, and what is known of a large one
+    meets its rows over salts.
+    """
+    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "root")).alias("hub")
+    keys = ws.save(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), hub).where("lo < hi").select("key", "n", "hub"), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    return ws.save(spread_join(labelled, keys, ["key"], hot_among(keys, ["key"], "n", total), F.col("id"), "inner"), "open")
 
 
-def _star_links(ws: Workspace, rows: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Confirmed links (a, b: components) between each bucket's hub of this turn and the members outside the hub's component."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "root")).alias("hub"))
-    pairs = rows.join(hubs, "key").where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("hub.root").alias("ra"), F.col("id").alias("b"), F.col("root").alias("rb")).distinct()
+def _star_links(ws: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b: components) between each bucket's hub and the members outside the hub's component."""
+    pairs = rows.where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("hub.root").alias("ra"), F.col("id").alias("b"), F.col("root").alias("rb"))
+    pairs = ws.save(pairs.distinct(), "pairs")
     one = sets.select(F.col("id").alias("b"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"))
     two = sets.select(F.col("id").alias("a"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"))
     na, nb = F.size("sa"), F.size("sb")
     tests = sizes_fit(na, nb) & sketches_fit(F.col("ka"), F.col("kb"))
-    found = pairs.join(one, "b").join(two, "a").where(tests).where(linked(F.size(F.array_intersect("sa", "sb")), na, nb))
+    # A member meets at most one hub a band; a hub may meet many members.
+    met = spread_join(pairs, two, ["a"], hot_keys(pairs, ["a"], pairs.count()), F.col("b"), "inner").join(one, "b")
+    found = met.where(tests).where(linked(F.size(F.array_intersect("sa", "sb")), na, nb))
     return ws.save(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
 
 
@@ -183,20 +191,24 @@ def _rest_links(ws: Workspace, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """All links between different components that share a bucket.
 
     In each bucket the members outside its largest component (minor) meet all
-    members; the met side is dealt over salts of BLOCK members. The join's
+    members. Both sides are cut into parts of about BLOCK members, and each pair
+    of parts is a cell of its own, so no cell grows with its bucket. The join's
     condition holds all tests, so it makes no row for a pair that isn't linked.
     """
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    keys = counts.groupBy("key").agg(F.sum("c").alias("members"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    keys = keys.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("salts"))
-    full = rows.join(keys, "key").join(sets, "id")
-    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    met = full.select("key", salt.alias("salt"), F.col("id").alias("a"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"), F.col("root").alias("ra"), (F.col("root") == F.col("main")).alias("in_main"))
-    minor = full.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"), F.col("root").alias("rb"))
+    keys = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    part = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    keys = ws.save(keys.select("key", "n", "main", part(F.col("n")).alias("columns"), part(F.col("n") - F.col("most")).alias("lines")), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    full = spread_join(rows, keys.drop("n"), ["key"], hot_among(keys, ["key"], "n", total), F.col("id"), "inner").join(sets, "id")
+    own = lambda parts, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    met = full.select("key", own("columns", 1).alias("x"), every("lines").alias("y"), F.col("id").alias("a"), F.col("sketch").alias("ka"), F.col("shingles").alias("sa"), F.col("root").alias("ra"), (F.col("root") == F.col("main")).alias("in_main"))
+    minor = full.where("root != main").select("key", every("columns").alias("x"), own("lines", 2).alias("y"), F.col("id").alias("b"), F.col("sketch").alias("kb"), F.col("shingles").alias("sb"), F.col("root").alias("rb"))
     na, nb = F.size(met["sa"]), F.size(minor["sb"])
     apart = (met["ra"] != minor["rb"]) & (met["in_main"] | (met["a"] < minor["b"]))
     alike = sizes_fit(na, nb) & sketches_fit(met["ka"], minor["kb"]) & linked(F.size(F.array_intersect(met["sa"], minor["sb"])), na, nb)
-    found = minor.join(met, (minor["key"] == met["key"]) & (minor["salt"] == met["salt"]) & apart & alike)
+    found = minor.join(met, (minor["key"] == met["key"]) & (minor["x"] == met["x"]) & (minor["y"] == met["y"]) & apart & alike)
     return ws.save(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
 
 
@@ -217,32 +229,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signs.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").alias("id"), "sketch", "bands"))
     reps = ws.save(named.groupBy("d1", "d2").agg(first.alias("r"), F.count("*").alias("copies")).select("d1", "d2", "copies", "r.*"), "representatives")
-    banded = reps.select(F.explode("bands").alias("key"), "id")
-    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    rows = ws.save(banded.join(shared, "key"), "buckets")
-    # Only members of a shared bucket can be linked; their sets are made once, from the whole texts.
-    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
-    sets = ws.save(texts.join(reps.select("id", "sketch"), "id"), "sets")
-    roots = None
-    for turn in range(TURNS):
-        open_rows = _open(ws, _labelled(rows.select("key", "id"), roots))
+    rows, sets, roots = reps.select(F.explode("bands").alias("key"), "id"), None, None
+    for turn in range(TURNS + 1):
+        open_rows = _open(ws, _labelled(rows.select("key", "id"), roots), turn)
         ws.drop(rows)
         rows = open_rows
-        links = _star_links(ws, rows, sets, turn)
-        if links.isEmpty():
+        if sets is None:
+            # Only members of a shared bucket can be linked; their sets are made once, from the whole texts.
+            wanted = rows.select(F.col("id").alias("doc_id")).distinct()
+            texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
+            sets = ws.save(texts.join(reps.select("id", "sketch"), "id"), "sets")
+        links = _star_links(ws, rows, sets) if turn < TURNS else _rest_links(ws, rows.select("key", "id", "root"), sets)
+        if not links.isEmpty():
+            roots = _merged(ws, roots, links)
+        elif turn < TURNS:  # no hub has a link left: the exact finish takes the same rows
+            links = _rest_links(ws, rows.select("key", "id", "root"), sets)
+            roots = roots if links.isEmpty() else _merged(ws, roots, links)
             break
-        roots = _merged(ws, roots, links)
-    open_rows = _open(ws, _labelled(rows.select("key", "id"), roots))
-    links = _rest_links(ws, open_rows, sets)
-    if not links.isEmpty():
-        roots = _merged(ws, roots, links)
-    for done in (rows, open_rows, sets):
+    for done in (rows, sets):
         ws.drop(done)
     if roots is None:
         roots = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    groups = reps.join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL").select("d1", "d2", F.coalesce("root", "id").alias("root"))
-    out = signs.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
+    groups = reps.join(roots, "id", "left").where("copies > 1 OR root IS NOT NULL").select("d1", "d2", "copies", F.coalesce("root", "id").alias("root"))
+    signs = signs.select("doc_id", "n_shingles", "d1", "d2")
+    out = spread_join(signs, groups.drop("copies"), ["d1", "d2"], hot_among(groups, ["d1", "d2"], "copies", signs.count()), F.col("doc_id"))
     known = F.col("root").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(known, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, hot_keys, left_join_spread
+from .workspace import Workspace, hot_keys, spread_join
 
 
 class Rule(NamedTuple):
@@ -144,8 +144,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     ws = Workspace(versions.sparkSession, "paths")
     by_blob = ws.save(by_blob, "found")
     paths = ws.save(versions.select("doc_id", blob_id(F.col("text")).alias("blob")), "paths")
-    hot = hot_keys(paths, "blob", paths.count())
-    joined = left_join_spread(paths, by_blob, "blob", hot, F.col("doc_id"))
+    joined = spread_join(paths, by_blob, ["blob"], hot_keys(paths, ["blob"], paths.count()), F.col("doc_id"))
     return joined.select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,stop:int>>")).alias("found"))
 
 

@@ -41,7 +41,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, hot_keys, left_join_spread
+from .workspace import Workspace, hot_keys, spread_join
 
 #: Fixed rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -164,13 +164,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, min_support
     labelled = urls.join(known, "page_id", "left").select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), blocked.alias("blocked"))
     classes, index = mine(ws, ws.save(labelled.where("blocked IS NOT NULL"), "labelled"), min_support, min_confidence)
     # A URL's host and path decide all; each distinct pair is matched once.
-    place = F.xxhash64("host", "path")
     rest = urls.where("fixed IS NULL AND (host != '' OR path != '')").select("host", "path").distinct()
     rest = itemised(rest.withColumn("tokens", url_tokens(F.col("host"), F.col("path"))), classes, "host", "path").withColumnRenamed("items", "held")
     best = matches(rest, index).groupBy("host", "path").agg(F.max(F.struct("confidence", "support", F.array_join("items", "+").alias("mined"))).alias("best"))
     best = ws.save(best.select(F.to_json(F.struct("host", "path")).alias("spot"), "best"), "best")
-    urls = urls.withColumn("spot", F.when(F.col("fixed").isNull() & ((F.col("host") != "") | (F.col("path") != "")), F.to_json(F.struct("host", "path"))).otherwise(F.concat(F.lit("~"), place.cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    hot = hot_keys(urls, "spot", pages.count())
-    out = left_join_spread(urls, best, "spot", hot, F.col("page_id"))
+    urls = urls.withColumn("spot", F.when(F.col("fixed").isNull() & ((F.col("host") != "") | (F.col("path") != "")), F.to_json(F.struct("host", "path"))))
+    # Rows that need no lookup have no spot, and are dealt by their page.
+    out = spread_join(urls, best, ["spot"], hot_keys(urls, ["spot"], pages.count()), F.struct("page_id", "host", "path"))
     verdict = F.coalesce(F.col("fixed.verdict"), F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), F.col("best.mined").alias("mined"), F.col("best.confidence").alias("confidence"))

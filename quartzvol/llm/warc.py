@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import HOT_KEYS, Workspace, left_join_spread
+from .workspace import Workspace, hot_among, spread_join
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 LEAST_REVISIT_BYTES = 1000
@@ -315,8 +315,8 @@ def with_revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= LEAST_REVISIT_BYTES)
     groups = ws.save(large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL"), "groups")
-    hot = groups.where(F.col("n") * HOT_KEYS > pages.count()).select("digest")
-    joined = left_join_spread(rows, groups.select("digest", "last"), "digest", hot, F.col("page_id"))
+    hot = hot_among(groups, ["digest"], "n", pages.count())
+    joined = spread_join(rows, groups.select("digest", "last"), ["digest"], hot, F.col("page_id"))
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,23 +80,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_KEYS = 1024
 
 
-def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """The keys that more than 1 / HOT_KEYS of ``total`` rows carry; counted with partial sums, so no task gets a hot key's rows."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") * HOT_KEYS > total) & F.col(key).isNotNull()).select(key)
+def hot_among(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """(keys, salts) of the hot keys of ``counts`` (keys, rows that carry the key); a salt gets no more rows than a key that isn't hot."""
+    hot = counts.where((F.col(n) * HOT_KEYS > total) & F.coalesce(*keys).isNotNull())
+    return hot.select(*keys, F.ceil(F.col(n) * HOT_KEYS / F.lit(max(1, total))).cast("int").alias("salts"))
 
 
-def left_join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """``rows`` LEFT JOIN ``table`` (one row a key, other column names) on ``key``, without a task that gets a hot key's rows.
+def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``hot_among`` for a table's own keys; partial sums count them, so no task gets a hot key's rows."""
+    return hot_among(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", total)
 
-    Rows of a hot key meet the table's few hot rows in a broadcast (fewer than
-    HOT_KEYS); in the shuffle that joins the rest they are dealt by ``spread``.
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (other column names) on ``keys``, without a task that gets a hot key's rows.
+
+    Rows of a hot key are dealt by ``spread`` over its salts, and the table's row
+    is repeated for each of them. Only the list of hot keys is broadcast: fewer
+    than HOT_KEYS rows. Null keys match nothing and are dealt by ``spread`` too.
     """
-    values = [c for c in table.columns if c != key]
-    few = table.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("__hot"), F.struct(*values).alias("__few"))
-    first = rows.join(F.broadcast(few), F.col(key) == F.col("__hot"), "left")
-    kind = dict(rows.dtypes)[key]
-    # A dealt row's key equals none of the table's: no digest or number of the table looks so.
-    away = F.concat(F.lit("~"), F.hex(F.xxhash64(spread))).cast(kind) if kind in ("string", "binary") else F.lit(None).cast(kind)
-    others = table.join(F.broadcast(hot), key, "left_anti").select(F.col(key).alias("__key"), F.struct(*values).alias("__rest"))
-    both = first.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(away)).join(others, F.col("__at") == F.col("__key"), "left")
-    return both.select(*rows.columns, *[F.coalesce(F.col("__few")[v], F.col("__rest")[v]).alias(v) for v in values])
+    few = F.broadcast(hot.select(*keys, F.col("salts").alias("__salts")))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    salt = F.pmod(F.xxhash64(spread), F.when(known, F.coalesce("__salts", F.lit(1))).otherwise(HOT_KEYS)).cast("int")
+    dealt = rows.join(few, keys, "left").withColumn("__salt", salt).select(*rows.columns, "__salt")
+    copies = table.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).select(*table.columns, "__salt")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")

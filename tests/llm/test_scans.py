@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzvol.llm import pii, secrets, urlfilter
-from quartzvol.llm.workspace import Workspace, hot_keys, left_join_spread
+from quartzvol.llm.workspace import Workspace, hot_keys, spread_join
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ("assign", "access", "hex")
@@ -70,7 +70,7 @@ def test_many_matches_stay_linear(spark):
 def test_hot_keys_join_apart(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("key"))
     table = spark.range(0, 3000, 2).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", -1)], "key string, v long"))
-    got = left_join_spread(rows, table, "key", hot_keys(rows, "key", 3000), F.col("id"))
+    got = spread_join(rows, table, ["key"], hot_keys(rows, ["key"], 3000), F.col("id")).select("id", "key", "v")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "key", "left").select("id", "key", "v").collect()))
 
 
