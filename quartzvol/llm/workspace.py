@@ -78,12 +78,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: A key is hot when more than this part of all rows carries it, so there are fewer hot keys than HOT_KEYS.
 HOT_KEYS = 1024
+#: A salt gets at least so many rows, so the rows repeated for salts are few beside those they meet.
+SALT_ROWS = 256
 
 
 def hot_among(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """(keys, salts) of the hot keys of ``counts`` (keys, rows that carry the key); a salt gets no more rows than a key that isn't hot."""
-    hot = counts.where((F.col(n) * HOT_KEYS > total) & F.coalesce(*keys).isNotNull())
-    return hot.select(*keys, F.ceil(F.col(n) * HOT_KEYS / F.lit(max(1, total))).cast("int").alias("salts"))
+    most = F.lit(max(SALT_ROWS, -(-total // HOT_KEYS)))
+    hot = counts.where((F.col(n) > most) & F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    return hot.select(*keys, F.ceil(F.col(n) / most).cast("int").alias("salts"))
 
 
 def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
