@@ -53,7 +53,7 @@ FAMILIES = {
 }
 SAMPLE_PER_LANGUAGE = 500
 #: Sampled documents of each language that noise and short pieces are made of.
-NOISE_PER_LANGUAGE = 125
+NOISE_PER_LANGUAGE = 60
 #: A length's floor lies so many spreads (median to lower sixth of the margins) below the median; a few mislabelled rows don't move it.
 SPREADS = 6.0
 #: No text is rejected above this margin, so the noise machine must be sure.
@@ -299,16 +299,16 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 langs.append(lang)
                 kinds.append(kind)
                 letters.append(int(letter_counts(raw, at)[0]))
-                places.append(spots.astype(np.int32))
-                values.append(x[spots].astype(np.float32))
+                places.append(spots.astype(np.int32).tobytes())
+                values.append(x[spots].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(letters, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(letters, pa.int64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
             names=["lang", "kind", "letters", "places", "vals"],
         )
 
 
 WHOLE, PIECE, NOISE = 0, 1, 2
-_SAMPLE = "lang string, kind int, letters long, places array<int>, vals array<float>"
+_SAMPLE = "lang string, kind int, letters long, places binary, vals binary"
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, reject: bool = False, noise_per_language: int = NOISE_PER_LANGUAGE) -> LanguageModel:
@@ -326,7 +326,7 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rejec
     rows = chosen.mapInArrow(_sampled, _SAMPLE).take(most)
     x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
     for i, r in enumerate(rows):
-        x[i, r["places"]] = r["vals"]
+        x[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["vals"], np.float32)
     langs, kinds = np.array([r["lang"] for r in rows], dtype=object), np.array([r["kind"] for r in rows])
     letters = np.array([r["letters"] for r in rows])
     del rows
