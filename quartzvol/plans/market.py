@@ -18,6 +18,23 @@ CONFIG = replace(DEFAULT, initial_years=3, cv_min_train=24)
 MODELS = ("constant", "har", "extended_ols", "regime_switching")
 
 
+_SHARED: dict[tuple, Market] = {}
+
+
+def shared_market(spark: SparkSession, sf_dir: str) -> Market:
+    """One Market for each session, folder and state of its tables, so a step is written once and not for every query.
+
+    The state is the length and modification time of the tables that the
+    snapshot reads; after a change the steps are built anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, source.state(spark, sf_dir))
+    if key not in _SHARED:
+        for old in [k for k in _SHARED if k[:2] == key[:2] or k[0] != key[0]]:
+            del _SHARED[old]
+        _SHARED[key] = Market(spark, sf_dir)
+    return _SHARED[key]
+
+
 class Market:
     """Steps that several later ones read are written to the shared folder once, which keeps later plans short."""
 
@@ -42,7 +59,7 @@ class Market:
 
     @cached_property
     def har(self) -> DataFrame:
-        return premium.har_forecast(self.returns, self.cfg)
+        return written(premium.har_forecast(self.returns, self.cfg), "har")
 
     @cached_property
     def vrp(self) -> DataFrame:

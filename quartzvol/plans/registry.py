@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import compare, premium, score, series, trading, walkforward
 from . import sql as Q
-from .market import CONFIG, Market
+from .market import CONFIG, Market, shared_market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def fixed(*columns: str) -> str:
 
 def query(name: str, sql: str | None = None, **pieces: str):
     def register(build: Callable[[Market], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(build(Market(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(build(shared_market(spark, sf_dir)))
         if sql is not None:
             ORACLE_SQL[name] = Q.query(sql, **pieces)
         return build
@@ -287,35 +287,66 @@ def _(m: Market):
     return compare.model_pairs(m.obs, PAIRS).groupBy("series_id", "pair").agg(F.count("*").alias("n"), F.avg("q_small").alias("qlike_small"), F.avg("q_large").alias("qlike_large"))
 
 
-def _stat_sql(value: str, where: str, extra: str = "") -> tuple[str, dict[str, str]]:
-    final = f"SELECT series_id, pair, regime, n, {fixed('mean_diff', 'lrv', 'stat=CASE WHEN n >= 8 AND lrv > 0 THEN mean_diff / sqrt(lrv / n)' + extra + ' END')} FROM s"
-    return final, {"s": f"SELECT series_id, pair, regime, count(*) AS n, avg(x) AS mean_diff, var_pop(x) AS lrv FROM x GROUP BY 1, 2, 3", "x": f"SELECT *, {value} AS x FROM pairx WHERE {where}"}
+def _stat_sql(value: str, where: str, paired: bool) -> tuple[str, dict[str, str]]:
+    """The test's statistic, its p by a series of its own, and what follows from both."""
+    tie = "n >= 8 AND lrv <= 0 AND mean_diff = 0" if paired else "false"
+    scale = " * sqrt((n - 1.0) / n)" if paired else ""
+    stat = f"CASE WHEN {tie} THEN 0 WHEN n >= 8 AND lrv > 0 THEN mean_diff / sqrt(lrv / n){scale} END"
+    p = f"CASE WHEN {tie} THEN 1 WHEN stat IS NOT NULL THEN {Q.t_two_sided('stat', '(n - 1)') if paired else Q.normal_tail('stat')} END"
+    reason = f"CASE WHEN n < 8 THEN '{compare.SMALL_SAMPLE}' WHEN lrv <= 0 AND NOT ({tie}) THEN '{compare.NO_VARIANCE}' END AS reason"
+    side = ", CASE WHEN p_value < 0.05 THEN CASE WHEN stat < 0 THEN 'model_a' ELSE 'model_b' END WHEN p_value IS NOT NULL THEN 'tie' END AS favoured" if paired else ""
+    final = f"SELECT series_id, pair, regime, n, {reason}{side}, {fixed('mean_diff', 'lrv', 'stat', 'p_value')} FROM p"
+    pieces = {"p": f"SELECT *, {p} AS p_value FROM t", "t": f"SELECT *, {stat} AS stat FROM s", "s": "SELECT series_id, pair, regime, count(*) AS n, avg(x) AS mean_diff, var_pop(x) AS lrv FROM x GROUP BY 1, 2, 3", "x": f"SELECT *, {value} AS x FROM pairx WHERE {where}"}
+    return final, dict(reversed(pieces.items()))
 
 
 _KEYS = ["series_id", "pair", "regime"]
-_dm, _dm_own = _stat_sql("q_small - q_large", "true", " * sqrt((n - 1.0) / n)")
-_cw, _cw_own = _stat_sql("realised / f_small - ln(realised / f_small) - (realised / f_large - ln(realised / f_large)) + f_small / f_large - ln(f_small / f_large) - 1", "nested")
-_ms, _ms_own = _stat_sql("(y_true - y_small) ** 2 - (y_true - y_large) ** 2 + (y_small - y_large) ** 2", "nested")
+_dm, _dm_own = _stat_sql("q_small - q_large", "true", True)
+_cw, _cw_own = _stat_sql("realised / f_small - ln(realised / f_small) - (realised / f_large - ln(realised / f_large)) + f_small / f_large - ln(f_small / f_large) - 1", "nested", False)
+_ms, _ms_own = _stat_sql("(y_true - y_small) ** 2 - (y_true - y_large) ** 2 + (y_small - y_large) ** 2", "nested", False)
+_TESTED = (*_KEYS, "n", "reason", "mean_diff", "lrv", "stat", "p_value")
+
+
+def _tested(df: DataFrame, *more: str) -> DataFrame:
+    return df.withColumn("n", F.col("n").cast("long")).select(*_TESTED, *more)
 
 
 @query("dm_stat", _dm, **_dm_own)
 def _(m: Market):
     x = compare.ordered_values(compare.with_total(compare.model_pairs(m.obs, PAIRS)), F.col("q_small") - F.col("q_large"), _KEYS)
-    return compare.diebold_mariano(x).select(*_KEYS, F.col("n").cast("long").alias("n"), "mean_diff", "lrv", "stat")
+    return _tested(compare.diebold_mariano(x), "favoured")
 
 
 @query("cw_stat_qlike", _cw, **_cw_own)
 def _(m: Market):
     rows = compare.with_total(compare.model_pairs(m.obs, PAIRS)).where("nested")
-    x = compare.ordered_values(rows, compare.qlike_difference(F.col("realised"), F.col("f_small"), F.col("f_large")), _KEYS)
-    return compare.clark_west(x).select(*_KEYS, F.col("n").cast("long").alias("n"), "mean_diff", "lrv", "stat")
+    return _tested(compare.clark_west(compare.ordered_values(rows, compare.qlike_difference(F.col("realised"), F.col("f_small"), F.col("f_large")), _KEYS)))
 
 
 @query("cw_stat_mspe", _ms, **_ms_own)
 def _(m: Market):
     rows = compare.with_total(compare.model_pairs(m.obs, PAIRS)).where("nested")
-    x = compare.ordered_values(rows, compare.mspe_difference(F.col("y_true"), F.col("y_small"), F.col("y_large")), _KEYS)
-    return compare.clark_west(x).select(*_KEYS, F.col("n").cast("long").alias("n"), "mean_diff", "lrv", "stat")
+    return _tested(compare.clark_west(compare.ordered_values(rows, compare.mspe_difference(F.col("y_true"), F.col("y_small"), F.col("y_large")), _KEYS)))
+
+
+_LAGGED = "SELECT a.series_id, a.pair, b.i - a.i AS k, sum(a.c * b.c) AS p FROM c a JOIN c b ON a.series_id = b.series_id AND a.pair = b.pair AND b.i BETWEEN a.i AND a.i + 4 GROUP BY 1, 2, 3"
+
+
+@query(
+    "dm_stat_lagged",
+    f"SELECT series_id, pair, n, {fixed('mean_diff', 'lrv', 'stat', 'p_value=' + Q.t_two_sided('stat', '(n - 1)'))} FROM t",
+    x="SELECT series_id, pair, d, q_small - q_large AS x FROM pairs",
+    c="SELECT *, x - avg(x) OVER (PARTITION BY series_id, pair) AS c, row_number() OVER (PARTITION BY series_id, pair ORDER BY d) AS i FROM x",
+    s="SELECT series_id, pair, count(*) AS n, avg(x) AS mean_diff FROM c GROUP BY 1, 2",
+    g=_LAGGED,
+    v="SELECT series_id, pair, n, mean_diff, sum(CASE WHEN k = 0 THEN p WHEN k <= 2 THEN 2 * p ELSE 0 END) / n AS lrv FROM s JOIN g USING (series_id, pair) GROUP BY series_id, pair, n, mean_diff",
+    t="SELECT *, CASE WHEN n >= 8 AND lrv > 0 THEN mean_diff / sqrt(lrv / n) * sqrt((n - 5 + 6.0 / n) / n) END AS stat FROM v",
+)
+def _(m: Market):
+    """Horizon three: two lags of autocovariance and the small-sample factor."""
+    x = compare.ordered_values(compare.model_pairs(m.obs, PAIRS), F.col("q_small") - F.col("q_large"), ["series_id", "pair"])
+    out = compare.diebold_mariano(x, horizon=3)
+    return out.select("series_id", "pair", F.col("n").cast("long").alias("n"), "mean_diff", "lrv", "stat", "p_value")
 
 
 @query(
@@ -335,15 +366,17 @@ def _(m: Market):
 
 @query(
     "regime_pair_table",
-    f"SELECT series_id, pair, nested, regime, n, winner, n < 50 AS low_power, {fixed('qlike_small', 'qlike_large', 'stat')} FROM u",
+    f"SELECT series_id, pair, nested, regime, n, winner, n < 50 AS low_power, direction, coalesce(direction <> 'none' AND direction <> winner, false) AS conflict, {fixed('qlike_small', 'qlike_large', 'stat', 'p_value')} FROM w",
     x="""SELECT *, CASE WHEN nested THEN realised / f_small - ln(realised / f_small) - (realised / f_large - ln(realised / f_large)) + f_small / f_large - ln(f_small / f_large) - 1 ELSE q_small - q_large END AS x FROM pairx""",
     s="SELECT series_id, pair, nested, regime, count(*) AS n, avg(q_small) AS qlike_small, avg(q_large) AS qlike_large, avg(x) AS mean, var_pop(x) AS v FROM x GROUP BY 1, 2, 3, 4",
     u="""SELECT *, CASE WHEN qlike_small < qlike_large THEN 'small' WHEN qlike_large < qlike_small THEN 'large' ELSE 'none' END AS winner,
         CASE WHEN n >= 8 AND v > 0 THEN mean / sqrt(v / n) * CASE WHEN nested THEN 1 ELSE sqrt((n - 1.0) / n) END END AS stat FROM s""",
+    p=f"SELECT *, CASE WHEN stat IS NOT NULL THEN CASE WHEN nested THEN {Q.normal_tail('stat')} ELSE {Q.t_two_sided('stat', '(n - 1)')} END END AS p_value FROM u",
+    w="""SELECT *, CASE WHEN p_value IS NULL THEN NULL WHEN p_value >= 0.05 THEN 'none' WHEN nested OR stat > 0 THEN 'large' ELSE 'small' END AS direction FROM p""",
 )
 def _(m: Market):
     table = compare.regime_pair_table(m.obs, PAIRS, m.cfg)
-    return table.select("series_id", "pair", "nested", "regime", F.col("n").cast("long").alias("n"), "winner", "low_power", "qlike_small", "qlike_large", "stat")
+    return table.select("series_id", "pair", "nested", "regime", F.col("n").cast("long").alias("n"), "winner", "low_power", "direction", "conflict", "qlike_small", "qlike_large", "stat", "p_value")
 
 
 @query("regime_pair_bootstrap")
@@ -384,11 +417,11 @@ MZ_PIECES = {
 }
 
 
-@query("mz_regression", f"SELECT series_id, regime, n, lag, {fixed('intercept', 'beta', 'se_intercept', 'se_beta', 'wald', 'wald_p=exp(-wald / 2)')} FROM res WHERE n >= 30", **MZ_PIECES)
+@query("mz_regression", f"SELECT series_id, regime, n, lag, {fixed('intercept', 'beta', 'se_intercept', 'se_beta', 'wald', 'wald_p=exp(-wald / 2)')} FROM res WHERE n >= 3", **MZ_PIECES)
 def _(m: Market):
     rows = m.vrp.select("series_id", "d", "vix", F.col("forecast")).join(m.outcomes.select("series_id", "d", "realised"), ["series_id", "d"])
     rows = compare.with_total(rows.withColumn("regime", S.regime(F.col("vix"), m.cfg)), label="full")
-    out = compare.mincer_zarnowitz(rows, ["series_id", "regime"], m.cfg).where("n >= 30")
+    out = compare.mincer_zarnowitz(rows, ["series_id", "regime"], m.cfg).where("n >= 3")
     return out.select("series_id", "regime", "n", "lag", "intercept", "beta", "se_intercept", "se_beta", "wald", "wald_p")
 
 

@@ -138,3 +138,18 @@ def query(final: str, **own: str) -> str:
     for name in _needs(final, known):
         visit(name)
     return (f"WITH {', '.join(f'{n} AS MATERIALIZED ({known[n]})' for n in order)} " if order else "") + final
+
+
+def normal_tail(z: str) -> str:
+    """P(Z > z): half less the density times z (1 + z^2/3 (1 + z^2/5 (...)))."""
+    folded = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(200, 0, -1), lambda k: k::DOUBLE)), lambda s, k: 1 + s * ({z}) ** 2 / (2 * k + 1))"
+    return f"(0.5 - exp(-0.5 * ({z}) * ({z})) / sqrt(2 * pi()) * ({z}) * {folded})"
+
+
+def t_two_sided(t: str, nu: str) -> str:
+    """P(|T| > |t|) for a whole number of degrees of freedom: the finite series in the cosine of atan(t / sqrt(nu))."""
+    c2 = f"({nu} / ({nu} + ({t}) ** 2))"
+    fold = lambda terms, ratio: f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({terms}, 0, -1), lambda k: k::DOUBLE)), lambda s, k: 1 + s * {c2} * {ratio})"
+    even = f"sqrt(1 - {c2}) * {fold(f'CAST({nu} // 2 - 1 AS BIGINT)', '(2 * k - 1) / (2 * k)')}"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({nu})) + CASE WHEN {nu} > 1 THEN sqrt((1 - {c2}) * {c2}) * {fold(f'CAST(({nu} - 3) // 2 AS BIGINT)', '(2 * k) / (2 * k + 1)')} ELSE 0 END)"
+    return f"(1 - CASE WHEN {nu} % 2 = 0 THEN {even} ELSE {odd} END)"

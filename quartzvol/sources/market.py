@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshots import _filesystem
+
 #: Scale that brings returns to the size of a stock index's.
 RETURN_SCALE = 0.02
 
@@ -19,6 +21,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and modification time of each table that ``snapshot`` reads; None where it is missing."""
+    found = []
+    for name in ("customer", "orders", "lineitem"):
+        system, target = _filesystem(spark, f"{sf_dir}/{name}.parquet")
+        status = system.getFileStatus(target) if system.exists(target) else None
+        found.append(status and (status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, d, close, vix, skew) on days that have all three."""
     segments = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("series_id"))

@@ -68,13 +68,31 @@ def with_column(snapshot: DataFrame, ticker: str, fresh: DataFrame) -> DataFrame
 
 
 def upsert(spark: SparkSession, path: str, ticker: str, fresh: DataFrame) -> None:
-    """Write the snapshot with a ticker's new column, then swap it in; an absent snapshot is created."""
+    """Write the snapshot with a ticker's new column, then swap it in; an absent snapshot is created.
+
+    The old table is moved aside and goes only when the new one is in place, so
+    one of them is there whenever the swap ends early; the next call finds it.
+    """
+    recover(spark, path)
     system, target = _filesystem(spark, path)
     column = ticker_column(ticker)
     first = fresh.select(F.col("d").alias("date"), F.col("close").alias(column))
     table = with_column(spark.read.parquet(path), ticker, fresh) if system.exists(target) else first
     _, beside = _filesystem(spark, path + ".next")
+    _, aside = _filesystem(spark, path + ".old")
     table.write.mode("overwrite").parquet(path + ".next")
-    system.delete(target, True)
+    system.delete(aside, True)  # of a swap that ended after its new table was in place
+    if system.exists(target) and not system.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not system.rename(beside, target):
+        system.rename(aside, target)
         raise OSError(f"could not move {path}.next into place")
+    system.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old table back where a swap ended between its two moves."""
+    system, target = _filesystem(spark, path)
+    _, aside = _filesystem(spark, path + ".old")
+    if not system.exists(target) and system.exists(aside):
+        system.rename(aside, target)

@@ -51,8 +51,12 @@ def save_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def append_facts(facts: DataFrame, path: str) -> None:
-    """Add finished work to a store keyed by (cell_key, rep_id); a failed write leaves no rows behind."""
+def append_facts(facts: DataFrame, path: str, keys: tuple[str, ...] = ("cell_key", "rep_id")) -> None:
+    """Add finished work to a store; work whose key is there already is not added again, so an append may be repeated."""
+    spark = facts.sparkSession
+    facts = facts.dropDuplicates(list(keys))
+    if exists(spark, path):
+        facts = remaining(facts, spark.read.parquet(path), list(keys))
     facts.write.mode("append").partitionBy("cell_key").parquet(path)
 
 

@@ -281,6 +281,10 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(snapshots.MissingSnapshot):
         snapshots.closes(spark, path, "SKEW")
     assert snapshots.long_closes(spark, path).count() == 3
+    # A swap that ended between its two moves leaves the old table aside; the next call starts from it.
+    (tmp_path / "raw_snapshot_2026-01-01.parquet").rename(tmp_path / "raw_snapshot_2026-01-01.parquet.old")
+    snapshots.upsert(spark, path, "SKEW", fresh((3, 120.0)))
+    assert sorted(snapshots.read_snapshot(spark, path).columns) == ["SKEW", "SPY", "VIX", "date"] and not snapshots.exists(spark, path + ".old")
 
 
 def test_stores_resume(spark, tmp_path):
@@ -288,6 +292,8 @@ def test_stores_resume(spark, tmp_path):
     schema = "cell_key string, rep_id long, v double"
     assert stores.load_or_empty(spark, path, schema).count() == 0
     stores.append_facts(spark.createDataFrame([("a", 0, 1.0), ("a", 2, 1.0)], schema), path)
+    stores.append_facts(spark.createDataFrame([("a", 0, 1.0), ("a", 2, 1.0)], schema), path)  # a repeated append
+    assert stores.load_or_empty(spark, path, schema).count() == 2
     wanted = spark.createDataFrame([("a", k) for k in range(4)], "cell_key string, rep_id long")
     left = stores.remaining(wanted, stores.load_or_empty(spark, path, schema), ["cell_key", "rep_id"])
     assert sorted(r["rep_id"] for r in left.collect()) == [1, 3]

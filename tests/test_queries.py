@@ -12,7 +12,7 @@ import __spark_entry__
 from quartzvol.plans import registry, studies  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
-FAST = ["log_returns", "month_start", "realised_skew", "as_of_skew", "har_rv_forecast", "model_dataset", "wf_extended", "scorecard", "per_regime_qlike", "dm_stat", "cw_corrected_stat", "mz_regression", "pnl", "tail_metrics", "episodes", "rejection_rates", "size_power_table", "importance_ranks", "snapshot_upsert", "daily_bars"]
+FAST = ["log_returns", "month_start", "realised_skew", "as_of_skew", "har_rv_forecast", "model_dataset", "wf_extended", "scorecard", "per_regime_qlike", "dm_stat", "dm_stat_lagged", "cw_stat_qlike", "regime_pair_table", "cw_corrected_stat", "mz_regression", "pnl", "tail_metrics", "episodes", "rejection_rates", "size_power_table", "importance_ranks", "snapshot_upsert", "daily_bars"]
 
 
 def _plain(rows, columns):
