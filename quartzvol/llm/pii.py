@@ -14,8 +14,11 @@ Two passes over a text:
 
 Spans count code points, end exclusive. Work per text is linear, one text at a time.
 
-Defined results: null and empty texts have no spans; rows of null doc_id are
-reported with a null doc_id; equal rows give equal rows; other columns are not read.
+Defined results: null and empty texts have no spans; an empty table gives an empty
+result; rows of null doc_id are reported with a null doc_id; equal rows give equal
+rows; spans of one kind that tie in place don't occur, and spans of two kinds may
+overlap. A very long text is read whole and costs memory in proportion to its
+length; only doc_id and text are read, so no other column's name clashes.
 """
 
 from __future__ import annotations

@@ -181,6 +181,55 @@ def test_pii_rows(spark):
     assert pii.redact("x a@b.co y", [{"kind": "email", "start": 2, "stop": 8}]) == "x [EMAIL] y"
 
 
+def disguised(rng, kind):
+    """A random identifier of a kind under a random disguise."""
+    spelled = "zero one two three four five six seven eight nine".split()
+    strange = lambda text, zero: "".join(chr(zero + int(c)) if c.isdigit() else c for c in text)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def hidden(text):
+        return rng.choice([" ".join(spelled[int(c)] for c in text), strange(text, 0xFF10), strange(text, 0x660), "\u200b".join(text)])
+
+    if kind == "email":
+        name, host = ("".join(rng.choice("acehops") for _ in range(6)) for _ in range(2))
+        if rng.random() < 0.3:
+            look = {v: k for k, v in pii.LOOKALIKES.items()}
+            return "".join(look.get(c, c) if k % 2 else c for k, c in enumerate(f"{name}@{host}.com"))
+        return f"{name}{rng.choice([' at ', ' [at] ', '(at)', ' {AT} ', ' <at> ', '@'])}{host}{rng.choice([' dot ', ' [dot] ', '(dot)', ' (DOT) '])}com"
+    if kind == "card":
+        head = "4" + number(14)
+        return hidden(next(head + c for c in "0123456789" if pii.luhn((head + c).encode())))
+    if kind == "phone":
+        own = "1" + number(9)
+        return rng.choice(["plus " + " ".join(spelled[int(c)] for c in own), "+" + hidden(own)])
+    parts = [str(rng.randrange(1, 255)) for _ in range(4)]
+    return rng.choice([rng.choice([" dot ", " point ", "[dot]", " (dot) ", "．"]).join(parts), strange(".".join(parts), 0xFF10)])
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_random_disguises_are_found_in_place(kind):
+    rng = random.Random(kind)
+    found = 0
+    for _ in range(300):
+        shown = disguised(rng, kind)
+        text = f"Zum Beispiel {shown} ist, end of text."
+        spans = [s for s in pii.spans_of(text.encode()) if s[0] == kind]
+        found += any(13 <= s[1] and s[2] <= 13 + len(shown) and s[2] - s[1] >= 0.7 * len(shown) for s in spans)
+    assert found >= 0.9 * 300
+
+
+def test_pii_in_long_texts_and_empty_tables(spark):
+    began = time.process_time()
+    for n in (20_000, 80_000):
+        pii.spans_of(("john [at] example dot com" + " " * n + "dot" + "\t" * n + "[").encode())
+    assert time.process_time() - began < 3
+    long = "wort " * 200_000 + "john [at] example dot com " + "one two " * 50_000 + "192.168.0.1"
+    df = spark.createDataFrame([(1, long), (2, None), (None, "a@b.cc")], "doc_id long, text string").withColumn("spans", F.lit(1))
+    rows = {r["doc_id"]: r for r in pii.digest_columns(pii.find_personal_data(df)).collect()}
+    assert rows[1]["spans"].startswith("email:1000000:1000025") and rows[1]["n_ip"] == 1 and rows[2]["spans"] == "" and rows[None]["n_email"] == 1
+    assert pii.digest_columns(pii.find_personal_data(df.limit(0))).collect() == []
+
+
 def url_by_hand(url):
     if url is None or "://" not in url:
         return "", ""
