@@ -23,6 +23,7 @@ read, so no other column's name clashes.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -37,16 +38,18 @@ class Rule(NamedTuple):
     pattern: str
     group: int  #: the group whose length is tested
     least: int
-    hint: str  #: a pattern that every text with a match contains
+    hint: tuple[tuple[str, ...], ...] = ()  #: literals; a text with a match holds one of each group
+    folded: bool = False  #: whether the literals are looked up in the lower-cased text
+    probe: str = ""  #: a pattern that every text with a match contains
 
 
 #: Fixed patterns of the base rules, then the ones this scan adds, in reporting order.
 RULES = (
-    Rule("assign", 1, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, r"(?:[wW][oO][rR][dD]|[wW][dD]|[eE][tT]|[eE][nN]|[eE][yY])[\"']?\x20*[:=]"),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, "AKIA"),
-    Rule("hex", 1, r"[0-9a-f]{24,}+", 0, 24, r"[0-9a-f]{24}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"\.eyJ"),
+    Rule("assign", 1, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, ((":", "="), ("password", "passwd", "secret", "token", "apikey", "api_key")), True),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, (("AKIA",),)),
+    Rule("hex", 1, r"[0-9a-f]{24,}+", 0, 24, probe=r"[0-9a-f]{24}"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (("PRIVATE KEY-----",),)),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ((".eyJ",),)),
 )
 BASE = ("assign", "access", "hex")
 #: Matches that one fold lays out.
@@ -63,8 +66,15 @@ def spans(text: Column, rule: Rule) -> Column:
     lengths = F.zip_with(pieces, whole, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(0)).alias("hit")))
     placed = _let(lengths, _laid)
     kept = F.filter(F.arrays_zip(placed.alias("span"), tested.alias("part")), lambda z: z["part"].isNotNull() & (F.length(z["part"]) >= rule.least))
-    found = F.transform(kept, lambda z: z["span"])
-    return F.when(F.regexp_like(text, F.lit(rule.hint)), found).otherwise(F.array().cast(SPANS))
+    return F.transform(kept, lambda z: z["span"])
+
+
+def may_match(text: Column, rule: Rule) -> Column:
+    """A cheap test that every text with a match of the rule passes."""
+    where = F.lower(text) if rule.folded else text
+    tests = [reduce(lambda a, b: a | b, [F.contains(where, F.lit(x)) for x in group]) for group in rule.hint]
+    tests += [F.regexp_like(text, F.lit(rule.probe))] if rule.probe else []
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,7 +122,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """
     names = F.array(*[F.lit(rule_name(r)) for r in rules])
     text = F.coalesce("text", F.lit(""))
-    hinted = F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(r.hint)), F.lit(rule_name(r))) for r in rules]))
+    hinted = F.array_compact(F.array(*[F.when(may_match(text, r), F.lit(rule_name(r))) for r in rules]))
     texts = versions.select(blob_id(F.col("text")).alias("blob"), hinted.alias("hinted"), text.alias("text"))
     ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
     name = F.concat_ws(":", "kind", F.col("version").cast("string"))
