@@ -128,36 +128,35 @@ def statistic(rv: np.ndarray, x: np.ndarray, t_train: int) -> np.ndarray:
     return studentised(adjusted_differences(np.log(np.atleast_2d(rv)), np.atleast_2d(x), t_train))
 
 
-def fixed_blocks(n: int, length: int, rng: np.random.Generator) -> np.ndarray:
-    starts = rng.integers(0, n, size=-(-n // length))
-    return ((starts[:, None] + np.arange(length)).ravel()[:n]) % n
+def resamples(n: int, length: int, draws: int, rng: np.random.Generator, scheme: str = "stationary") -> np.ndarray:
+    """Places of ``draws`` circular block resamples of n rows, a row for each.
 
-
-def stationary_blocks(n: int, mean_length: int, rng: np.random.Generator) -> np.ndarray:
-    """Circular blocks of geometric length; a place's block began at the latest coin that fell."""
-    fell = rng.random(n) < 1.0 / mean_length
-    fell[0] = True
-    bases, place = rng.integers(0, n, size=n), np.arange(n)
-    began = np.maximum.accumulate(np.where(fell, place, 0))
-    return (bases[began] + place - began) % n
-
-
-def resample(n: int, length: int, rng: np.random.Generator, scheme: str = "stationary") -> np.ndarray:
-    if scheme not in ("stationary", "fixed"):
+    ``fixed`` blocks have the given length; ``stationary`` ones have it in the
+    mean, as every place begins a new block by the fall of a coin.
+    """
+    place = np.arange(n)
+    if scheme == "fixed":
+        blocks = place // length
+        return (rng.integers(0, n, size=(draws, blocks[-1] + 1))[:, blocks] + place % length) % n
+    if scheme != "stationary":
         raise ValueError(f"unknown scheme {scheme}")
-    return (stationary_blocks if scheme == "stationary" else fixed_blocks)(n, length, rng)
+    new = rng.random((draws, n)) * length < 1
+    new[:, 0] = True
+    age = place - np.maximum.accumulate(new * place, axis=1)
+    heads = rng.integers(0, n, size=(draws, n))
+    return (np.take_along_axis(heads, place - age, axis=1) + age) % n
 
 
 def loss_bootstrap(d: np.ndarray, seen: float, length: int, draws: int, rng: np.random.Generator, scheme: str = "stationary") -> tuple[float, float]:
     """p and spread of the statistic over resamples of the centred differences."""
     pool = d - d.mean()
-    stats = studentised(np.stack([pool[resample(len(d), length, rng, scheme)] for _ in range(draws)]))
+    stats = studentised(pool[resamples(len(d), length, draws, rng, scheme)])
     return float(np.mean(stats >= seen)), float(stats.std())
 
 
 def data_bootstrap(rv: np.ndarray, x: np.ndarray, t_train: int, length: int, draws: int, rng: np.random.Generator) -> tuple[float, float]:
     """Pairs are resampled and the whole forecast is run again; draws are centred at their own mean."""
-    index = np.stack([stationary_blocks(len(rv), length, rng) for _ in range(draws)])
+    index = resamples(len(rv), length, draws, rng)
     stats = np.concatenate([statistic(rv[part], x[part], t_train) for part in np.array_split(index, -(-draws // SLICE))])
     return float(np.mean(stats - stats.mean() >= statistic(rv, x, t_train)[0])), float(stats.std())
 

@@ -382,3 +382,13 @@ def test_study_tables_report_their_own_cells(spark, monkeypatch):
     assert len(table) == 12 and sum(r["power_boot"] is not None for r in table) == 8
     assert registry.QUERIES["mc_calibration_table"](spark, "none").count() == 8
     assert {r["cell_key"] for r in registry.QUERIES["mc_sensitivity_table"](spark, "none").collect()} == {c.key for c in studies.STUDY["sensitivity"][0]}
+
+
+def test_block_resamples():
+    rng = np.random.default_rng(3)
+    fixed = simulation.resamples(10, 4, 50, rng, "fixed")
+    assert fixed.shape == (50, 10) and all(((row[k + 1] - row[k]) % 10 == 1) for row in fixed for k in range(9) if (k + 1) % 4)
+    free = simulation.resamples(400, 5, 200, rng)
+    assert free.min() >= 0 and free.max() < 400 and 0.17 < np.mean((np.diff(free, axis=1) % 400) != 1) < 0.23
+    with pytest.raises(ValueError, match="unknown"):
+        simulation.resamples(5, 2, 1, rng, "other")
