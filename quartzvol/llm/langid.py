@@ -7,8 +7,11 @@ bytes) over the whole text; letters are A-Z folded to lower case and all
 non-ASCII bytes, anything else is one gap.
 
 Learning uses at most ``sample_per_language`` labelled documents of each
-language (chosen by a hash of doc_id) and nothing but their text and lang; the
-models then have a fixed size and are sent to the executors whole.
+language (chosen by a hash of doc_id, of the text where that is null) and nothing but their text and lang. Tasks make the
+sample's features and one more task learns from them, in the order of that hash,
+so neither partitions nor runs change the result; it keeps the features sparse
+and makes a matrix of one machine's rows at a time. The driver gets the finished
+model only, which has a fixed size and is sent to the executors whole.
 
 Where rejection is asked for (``train(docs, reject=True)``), one more machine a
 language parts it from noise. Noise is made from at most ``noise_per_language``
@@ -34,6 +37,7 @@ columns through, so no names clash.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -133,14 +137,39 @@ def has_letter(raw: np.ndarray) -> bool:
     return bool((raw >= 0x80).any()) and any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
 
 
+class Sample:
+    """Sparse feature rows; the rows that an index picks come as a new dense matrix."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray]):
+        self.places, self.values = places, values
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        spots = self._numbers(rows)
+        out = np.zeros((len(spots), BUCKETS), dtype=np.float32)
+        for i, k in enumerate(spots):
+            out[i, self.places[k]] = self.values[k]
+        return out
+
+    def only(self, rows: np.ndarray) -> Sample:
+        spots = self._numbers(rows)
+        return Sample([self.places[k] for k in spots], [self.values[k] for k in spots])
+
+    @staticmethod
+    def _numbers(rows: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(rows) if rows.dtype == bool else rows
+
+
 class Svm:
-    """A linear machine between two classes: squared hinge loss, accelerated full-batch gradient."""
+    """A linear machine between two classes: squared hinge loss, accelerated full-batch gradient.
+
+    ``x`` is given away: it is centred in place.
+    """
 
     def __init__(self, x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, rounds: int = 150):
         y = np.where(positive, 1.0, -1.0).astype(np.float32)
         share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
         self.mean = share @ x
-        z = x - self.mean
+        z = np.subtract(x, self.mean, out=x)
         w, v, b, vb = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
         rate = 1.0 / (2 * (float(share @ np.einsum("ij,ij->i", z, z)) + 1.0) + penalty)
         for k in range(rounds):
@@ -159,7 +188,7 @@ class Svm:
 class Vote:
     """One-versus-one machines over some classes; the class with most wins, then the largest margin, has it."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: Sample, labels: np.ndarray):
         self.classes = sorted(set(labels))
         self.machines = {}
         for a, b in combinations(self.classes, 2):
@@ -226,12 +255,14 @@ def pieces(text: str) -> list[str]:
 class Rejector:
     """Per language a machine against noise, and for every length the margin below which a text is no language."""
 
-    def __init__(self, clean: np.ndarray, langs: np.ndarray, letters: np.ndarray, noise: np.ndarray):
+    def __init__(self, x: Sample, langs: np.ndarray, letters: np.ndarray, clean: np.ndarray, noise: np.ndarray):
+        """``clean`` and ``noise`` tell which rows are which."""
         self.machines, self.floors = {}, {}
-        for lang in sorted(set(langs)):
-            own = clean[langs == lang]
-            machine = Svm(np.concatenate([own, noise]), np.arange(len(own) + len(noise)) < len(own))
-            margin, long = machine.margin(own), letters[langs == lang]
+        against = np.flatnonzero(noise)
+        for lang in sorted(set(langs[clean])):
+            own = np.flatnonzero(clean & (langs == lang))
+            machine = Svm(x[np.concatenate([own, against])], np.arange(len(own) + len(against)) < len(own))
+            margin, long = machine.margin(x[own]), letters[own]
             floors = [self._floor(m) if len(m := margin[(long >= 2**k) & (long < 2 ** (k + 3))]) >= 20 else -np.inf for k in range(40)]
             # A longer text never has a lower floor.
             self.machines[lang] = machine
@@ -260,10 +291,10 @@ def letter_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 class LanguageModel:
     rejector: Rejector | None = None
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
+    def __init__(self, x: Sample, langs: np.ndarray):
         families = np.array([family_of(v) for v in langs], dtype=object)
         self.families = Vote(x, families) if len(langs) else None
-        self.within = {f: Vote(x[families == f], langs[families == f]) for f in set(families)}
+        self.within = {f: Vote(x.only(families == f), langs[families == f]) for f in sorted(set(families))}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out, score = np.full(len(x), UNKNOWN, dtype=object), np.zeros(len(x))
@@ -284,10 +315,10 @@ def held_out() -> Column:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse features of texts (lang, text, extra), and of the noise and pieces made of the extra ones."""
+    """Sparse features of texts (turn, tie, lang, text, extra), and of the noise and pieces made of the extra ones."""
     for batch in batches:
-        langs, kinds, letters, places, values = [], [], [], [], []
-        for lang, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        turns, ties, langs, kinds, letters, places, values = [], [], [], [], [], [], []
+        for turn, tie, lang, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             made = [(WHOLE, text)]
             if extra:
                 made += [(PIECE, t) for t in pieces(text)] + [(NOISE, t) for t in noises(text)]
@@ -296,47 +327,65 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.array([0, len(raw)])
                 x = features(raw, at)[0]
                 spots = np.flatnonzero(x)
+                turns.append(turn)
+                ties.append(tie)
                 langs.append(lang)
                 kinds.append(kind)
                 letters.append(int(letter_counts(raw, at)[0]))
-                places.append(spots.astype(np.int32).tobytes())
+                places.append(spots.astype(np.int16).tobytes())
                 values.append(x[spots].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(letters, pa.int64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
-            names=["lang", "kind", "letters", "places", "vals"],
+            [pa.array(turns, pa.float64()), pa.array(ties, pa.int64()), pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(letters, pa.int64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+            names=["turn", "tie", "lang", "kind", "letters", "places", "vals"],
         )
 
 
 WHOLE, PIECE, NOISE = 0, 1, 2
-_SAMPLE = "lang string, kind int, letters long, places binary, vals binary"
+_SAMPLE = "turn double, tie long, lang string, kind int, letters long, places binary, vals binary"
+
+
+def learn(rows: pa.Table, reject: bool) -> LanguageModel:
+    """The model of a sample (_SAMPLE)."""
+    langs, kinds = (np.array(rows.column(c).to_pylist(), dtype=kind) for c, kind in (("lang", object), ("kind", np.int32)))
+    letters = np.array(rows.column("letters").to_pylist(), dtype=np.int64)
+    x = Sample(*([np.frombuffer(v.as_buffer(), kind) for v in rows.column(c)] for c, kind in (("places", np.int16), ("vals", np.float32))))
+    whole = kinds == WHOLE
+    model = LanguageModel(x.only(whole), langs[whole])
+    if reject and (kinds == NOISE).any():
+        # Whole texts of about the number of pieces, so that neither kind outweighs the other.
+        clean = (kinds == PIECE) | (whole & (np.cumsum(whole) % max(1, whole.sum() // max(1, (kinds == PIECE).sum())) == 0))
+        model.rejector = Rejector(x, langs, letters, clean, kinds == NOISE)
+    return model
+
+
+def _learner(reject: bool):
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(batches):
+            model = learn(pa.Table.from_batches(rows), reject)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return fit
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, reject: bool = False, noise_per_language: int = NOISE_PER_LANGUAGE) -> LanguageModel:
     """Fit on at most ``sample_per_language`` labelled documents of each language, none of them held out."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    unlearnt = LanguageModel(Sample([], []), np.zeros(0, dtype=object))
     if not counts:
-        return LanguageModel(np.zeros((0, BUCKETS), np.float32), np.zeros(0, dtype=object))
-    # A hash bound for each language keeps about nine tenths of the allowed number; take() guards the rest.
+        return unlearnt
+    # A hash bound for each language keeps about nine tenths of the allowed number; the limit guards the rest.
     shares = lambda most: F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 0.9 * most / n) if n > most else 1.0))])[F.col("lang")]
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    spot = F.pmod(drawn_by, F.lit(1 << 30)) / F.lit(float(1 << 30))
     extra = spot < shares(noise_per_language) if reject else F.lit(False)
-    chosen = usable.where((spot < shares(sample_per_language)) & F.col("text").rlike(r"\p{L}")).select("lang", "text", extra.alias("extra"))
+    chosen = usable.where((spot < shares(sample_per_language)) & F.col("text").rlike(r"\p{L}"))
+    # The limit would cut all languages alike: turns are relative to a language's share, ties go by the text's hash.
+    chosen = chosen.select((spot / shares(sample_per_language)).alias("turn"), F.xxhash64("lang", "text").alias("tie"), "lang", "text", extra.alias("extra"))
     most = len(counts) * (sample_per_language + (8 * noise_per_language if reject else 0))
-    rows = chosen.mapInArrow(_sampled, _SAMPLE).take(most)
-    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["vals"], np.float32)
-    langs, kinds = np.array([r["lang"] for r in rows], dtype=object), np.array([r["kind"] for r in rows])
-    letters = np.array([r["letters"] for r in rows])
-    del rows
-    whole = kinds == WHOLE
-    model = LanguageModel(x[whole], langs[whole])
-    if reject and (kinds == NOISE).any():
-        # Whole texts of about the number of pieces, so that neither kind outweighs the other.
-        clean = (kinds == PIECE) | (whole & (np.cumsum(whole) % max(1, whole.sum() // max(1, (kinds == PIECE).sum())) == 0))
-        model.rejector = Rejector(x[clean], langs[clean], letters[clean], x[kinds == NOISE])
-    return model
+    rows = chosen.mapInArrow(_sampled, _SAMPLE)
+    learnt = rows.orderBy(*rows.columns).limit(most).mapInArrow(_learner(reject), "model binary").collect()
+    return pickle.loads(learnt[0]["model"]) if learnt else unlearnt
 
 
 def _predictor(shared, reject: bool = False):

@@ -6,10 +6,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -253,6 +255,49 @@ def test_rejection_parts_language_from_noise(spark):
     assert answers <= set(ALPHABET)  # rejection is the stage's; identification always names a learned language
 
 
+def labelled(n):
+    rng = random.Random(6)
+    return [(k, prose(lang := rng.choice(list(ALPHABET)), rng, rng.randrange(1, 90)), lang, None) for k in range(n)]
+
+
+def memory_peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_driver_holds_the_learnt_model_only(spark):
+    df = docs(spark, labelled(600))
+    assert memory_peak(lambda: langid.train(df, 100, reject=True)) < 5e6
+
+
+def test_learning_holds_one_machine_at_a_time():
+    columns = [(k / 160, k, lang, text, k < 80) for k, (_, text, lang, _) in enumerate(labelled(160))]
+    rows = pa.Table.from_batches(langid._sampled([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*columns, strict=True)], names=["turn", "tie", "lang", "text", "extra"])]))
+    dense = rows.num_rows * langid.BUCKETS * 4
+    assert memory_peak(lambda: langid.learn(rows, True)) < dense
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    rows = labelled(600) + [(None, t, lang, None) for _, t, lang, _ in labelled(700)[600:]]
+    df = docs(spark, rows)
+    answers = []
+    for parts in (df.coalesce(1), df.repartition(7, F.xxhash64("text"))):
+        model = langid.train(parts, 60, reject=True)
+        answers.append(sorted(((r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect())))
+    assert answers[0] == answers[1]
+
+
+def test_a_crowd_without_ids_leaves_the_sample_to_all_languages(spark):
+    rows = labelled(200) + [(None, prose("de", random.Random(k), 20), "de", None) for k in range(2000)]
+    df = docs(spark, rows).coalesce(1).orderBy(F.desc("lang"))
+    found = {r["lang_pred"] for r in langid.identify(df, langid.train(df, 30)).collect()}
+    assert found == set(ALPHABET)
+
+
 def test_prediction_does_not_depend_on_neighbours():
     rng = random.Random(1)
     texts = [prose(rng.choice(list(ALPHABET)), rng, n).encode() for n in (1, 5, 0, 200, 3)] + [b" x", b"y "]
