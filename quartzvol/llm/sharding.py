@@ -63,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] =
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key, order = key_columns()
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("__key"), order.alias("__order"), *carry)
-    rows = rows.withColumn("shard", _jump_udf(shards)("__key")).withColumn("grown_shard", _jump_udf(shards + 1)("__key")).drop("__key")
+    # One Python worker a task makes both: they stand side by side, and as neither is nullable, no join adds a null test with a worker of its own.
+    jumps = {"shard": shards, "grown_shard": shards + 1}
+    rows = rows.withColumns({name: F.coalesce(_jump_udf(n)("__key"), F.lit(0)) for name, n in jumps.items()}).drop("__key")
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.col("__order"))
     rows = rows.withColumn("__bucket", F.pmod(spread, F.lit(BUCKETS)).cast("int"))
     counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))

@@ -210,6 +210,11 @@ def test_shards_equal_brute_force(spark):
         sharding.jump_hash(np.zeros(1, np.uint64), 0)
 
 
+def test_sharding_takes_one_worker_a_task(spark):
+    plan = sharding.shard_documents(docs(spark, [(1, "a", None, None)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one for the counts, one for the rows
+
+
 # Language identification
 
 ALPHABET = {"en": "the and ing tion wh ou er sh", "de": "sch ung ich ein keit ü ß der", "fr": "eau que oi ç é la ment les", "es": "ción ñ rr ll os ado que el"}
