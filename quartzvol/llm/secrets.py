@@ -6,7 +6,11 @@ a scan looks only at pairs the ledger lacks: new blobs under all rules, old
 blobs under new or changed rules. Findings join back to every path that carries
 the blob. Only DataFrame functions are used. A blob without findings keeps its
 empty entries, so it isn't scanned again; ``scan_documents`` extends a stored
-ledger, first by the base rules and then by the added ones.
+ledger, first by the base rules and then by the added ones. The table is read
+once: each text is addressed and tested for hints in one pass that both scans
+share. The ledger's files follow rows and bytes, not the session's shuffle
+partitions: without Hadoop's native library, executors start processes to set
+the permissions of every file they write to a local folder.
 
 A rule finds leftmost matches without overlaps and keeps those whose tested
 group is long enough. Spans are code points, end exclusive: ``split`` gives the
@@ -55,6 +59,9 @@ BASE = ("assign", "access", "hex")
 #: Matches that one fold lays out.
 CHUNK = 256
 SPANS = "array<struct<start:int,stop:int>>"
+#: A stored table has one file for so many documents, or for so many bytes of texts to search.
+FILE_ROWS = 8192
+FILE_BYTES = 2**24
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -106,70 +113,87 @@ def blob_id(text: Column) -> Column:
 
 
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, kind string, version int, spans {SPANS}")
+    """A ledger without rows, made without Python workers."""
+    none = spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("kind"), F.lit(0).alias("version"), F.array().cast(SPANS).alias("spans"))
+    return none.where(F.lit(False))
 
 
 def rule_name(rule: Rule) -> str:
     return f"{rule.kind}:{rule.version}"
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, kind, version, spans) for the unseen blob and rule pairs of ``versions`` (text).
-
-    A text whose hints for the unseen rules are all absent gets its empty rows
-    from its address alone. Only texts with a hint travel, one copy of each blob,
-    and of those only blobs with an unseen pair are searched.
-    """
-    names = F.array(*[F.lit(rule_name(r)) for r in rules])
+def addressed(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with ``blob``, ``hinted`` (names of the rules whose hints the text has) and ``text`` only where there is a hint."""
     text = F.coalesce("text", F.lit(""))
     hinted = F.array_compact(F.array(*[F.when(may_match(text, r), F.lit(rule_name(r))) for r in rules]))
-    texts = versions.select(blob_id(F.col("text")).alias("blob"), hinted.alias("hinted"), text.alias("text"))
-    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    others = [c for c in versions.columns if c != "text"]
+    met = versions.select(*others, blob_id(F.col("text")).alias("blob"), hinted.alias("hinted"), text.alias("text"))
+    return met.withColumn("text", F.when(F.size("hinted") > 0, F.col("text")))
+
+
+def unseen(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``scan`` of ``addressed`` texts (by these rules at least)."""
+    names = F.array(*[F.lit(rule_name(r)) for r in rules])
     name = F.concat_ws(":", "kind", F.col("version").cast("string"))
     seen = ledger.where(name.isin([rule_name(r) for r in rules])).groupBy("blob").agg(F.collect_set(name).alias("seen"))
+    blobs = texts.groupBy("blob").agg(F.first("hinted").alias("hinted"), F.first("text").alias("text")).join(seen, "blob", "left")
+    lack = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
 
-    def lacking(blobs: DataFrame) -> DataFrame:
-        return blobs.join(seen, "blob", "left").withColumn("lack", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
+    def row(rule: Rule) -> Column:
+        found = F.when(F.array_contains("hinted", rule_name(rule)), spans(F.col("text"), rule)).otherwise(F.array().cast(SPANS))
+        return F.when(F.array_contains("lack", rule_name(rule)), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), found.alias("spans")))
 
-    empty = lacking(texts.select("blob", "hinted").distinct()).select("blob", F.explode(F.array_except("lack", "hinted")).alias("name"))
-    empty = empty.select("blob", F.substring_index("name", ":", 1).alias("kind"), F.substring_index("name", ":", -1).cast("int").alias("version"), F.array().cast(SPANS).alias("spans"))
-    met = lacking(texts.where(F.size("hinted") > 0).dropDuplicates(["blob"])).withColumn("lack", F.array_intersect("lack", "hinted")).where(F.size("lack") > 0)
-    each = [
-        F.when(F.array_contains("lack", rule_name(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules
-    ]
-    found = met.select("blob", F.explode(F.array_compact(F.array(*each))).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
-    return empty.union(found)
+    each = F.array_compact(F.array(*[row(r) for r in rules]))
+    lacking = blobs.withColumn("lack", lack).where(F.size("lack") > 0)
+    return lacking.select("blob", F.explode(each).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, found) for every row of ``versions`` (doc_id, text): the current rules' spans of its blob.
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob, kind, version, spans) for the unseen blob and rule pairs of ``versions`` (text).
 
-    ``found`` is an array of (start, k, stop), ordered by start, then by the rule's place k.
+    A rule whose hints a text lacks gets its empty row from the address alone.
+    Only texts with a hint travel, one copy of each blob from a task, and only
+    blobs with an unseen pair are searched.
     """
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    return unseen(addressed(versions.select("text"), rules), ledger, rules)
+
+
+def found_by(paths: DataFrame, total: int, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``findings`` of stored ``paths`` (doc_id, blob) of ``total`` rows."""
     places = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
     k = places[F.concat_ws(":", "kind", F.col("version").cast("string"))]
     hits = ledger.where(k.isNotNull() & (F.size("spans") > 0))
     rows = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), k.alias("k"), s["stop"].alias("stop")))
     by_blob = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("found"))
-    ws = Workspace(versions.sparkSession, "paths")
-    by_blob = ws.save(by_blob, "found")
-    paths = ws.save(versions.select("doc_id", blob_id(F.col("text")).alias("blob")), "paths")
-    joined = spread_join(paths, by_blob, ["blob"], hot_keys(paths, ["blob"], paths.count()), F.col("doc_id"))
+    joined = spread_join(paths, by_blob, ["blob"], hot_keys(paths, ["blob"], total), F.col("doc_id"))
     return joined.select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,stop:int>>")).alias("found"))
 
 
-def extended(ws: Workspace, docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """A stored ledger with the rows that ``docs`` and ``rules`` add to it."""
-    return ledger.union(ws.save(scan(docs, ledger, rules), "ledger"))
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, found) for every row of ``versions`` (doc_id, text): the current rules' spans of its blob.
+
+    ``found`` is an array of (start, k, stop), ordered by start, then by the rule's place k.
+    """
+    paths = Workspace(versions.sparkSession, "paths").save(versions.select("doc_id", blob_id(F.col("text")).alias("blob")), "paths")
+    return found_by(paths, paths.count(), ledger, rules)
+
+
+def extended(ws: Workspace, texts: DataFrame, files: int, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A stored ledger with the rows that ``addressed`` texts and ``rules`` add to it, in ``files`` files at most."""
+    return ledger.union(ws.save(unseen(texts, ledger, rules).coalesce(files), "ledger"))
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, found) for every row, over a stored ledger: first the base rules scan what it lacks, then all rules what it lacks by then."""
     ws = Workspace(docs.sparkSession, "secrets")
-    ledger = ws.save(empty_ledger(docs.sparkSession) if ledger is None else ledger, "ledger")
-    ledger = extended(ws, docs, ledger, tuple(r for r in rules if r.kind in BASE))
-    ledger = extended(ws, docs, ledger, rules)
-    return findings(docs, ledger, rules)
+    ledger = empty_ledger(docs.sparkSession) if ledger is None else ws.save(ledger, "ledger")
+    texts = ws.save(addressed(docs.select("doc_id", "text"), rules), "texts")
+    total, searched = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    files = max(1, -(-total // FILE_ROWS), -(-searched // FILE_BYTES))
+    ledger = extended(ws, texts, files, ledger, tuple(r for r in rules if r.kind in BASE))
+    ledger = extended(ws, texts, files, ledger, rules)
+    return found_by(texts.select("doc_id", "blob"), total, ledger, rules).coalesce(files)
 
 
 def digest_columns(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -6,12 +6,13 @@ import re
 import time
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quartzvol.llm import pii, secrets, urlfilter
-from quartzvol.llm.workspace import Workspace, hot_keys, spread_join
+from quartzvol.llm.workspace import Workspace, hot_keys, shared_dir, spread_join
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ("assign", "access", "hex")
@@ -68,6 +69,29 @@ def test_many_matches_stay_linear(spark):
     assert rows[1]["last"] == f"hex:{25 * 63_999}:{25 * 63_999 + 24}" and rows[2]["first"] == "assign:0:14,assign:16:30,a"
 
 
+def test_stored_files_follow_rows_not_partitions(spark, monkeypatch):
+    rows = [(k, f"text {k % 250} token = abcdef{k % 250:04d}") for k in range(300)] + [(300, None), (301, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet") if p.is_file()}
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for least, most in ((8192, 5), (100, 11)):  # three files of texts; one or four for each of two ledgers
+            monkeypatch.setattr(secrets, "FILE_ROWS", least, raising=False)
+            before = files()
+            found = secrets.digest_columns(secrets.scan_documents(df))
+            got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found.collect())
+            assert got == Counter((i, *secrets_by_hand(t)) for i, t in rows)
+            assert len(files() - before) <= most
+        # The executors' memory has no Python workers in it.
+        assert "ExistingRDD" not in secrets.empty_ledger(spark)._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_hot_keys_join_apart(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("key"))
     table = spark.range(0, 3000, 2).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", -1)], "key string, v long"))
