@@ -136,7 +136,8 @@ def unseen(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> Data
     names = F.array(*[F.lit(rule_name(r)) for r in rules])
     name = F.concat_ws(":", "kind", F.col("version").cast("string"))
     seen = ledger.where(name.isin([rule_name(r) for r in rules])).groupBy("blob").agg(F.collect_set(name).alias("seen"))
-    blobs = texts.groupBy("blob").agg(F.first("hinted").alias("hinted"), F.first("text").alias("text")).join(seen, "blob", "left")
+    searched = F.when(F.arrays_overlap("hinted", names), F.col("text"))
+    blobs = texts.groupBy("blob").agg(F.first("hinted").alias("hinted"), F.first(searched).alias("text")).join(seen, "blob", "left")
     lack = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
 
     def row(rule: Rule) -> Column:
@@ -185,14 +186,14 @@ def extended(ws: Workspace, texts: DataFrame, files: int, ledger: DataFrame, rul
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, found) for every row, over a stored ledger: first the base rules scan what it lacks, then all rules what it lacks by then."""
+    """(doc_id, found) for every row, over a stored ledger: first the base rules scan what it lacks, then the others what it lacks of theirs."""
     ws = Workspace(docs.sparkSession, "secrets")
     ledger = empty_ledger(docs.sparkSession) if ledger is None else ws.save(ledger, "ledger")
     texts = ws.save(addressed(docs.select("doc_id", "text"), rules), "texts")
     total, searched = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     files = max(1, -(-total // FILE_ROWS), -(-searched // FILE_BYTES))
-    ledger = extended(ws, texts, files, ledger, tuple(r for r in rules if r.kind in BASE))
-    ledger = extended(ws, texts, files, ledger, rules)
+    for part in (tuple(r for r in rules if r.kind in BASE), tuple(r for r in rules if r.kind not in BASE)):
+        ledger = extended(ws, texts, files, ledger, part) if part else ledger
     return found_by(texts.select("doc_id", "blob"), total, ledger, rules).coalesce(files)
 
 
